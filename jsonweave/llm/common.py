@@ -52,3 +52,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, as a lambda's variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nobody holds any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

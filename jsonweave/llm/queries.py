@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import table
+from .fingerprint import fingerprint_report
+from .ngram_join import near_duplicates
 from .quality import quality_report
+from .sharding import shard_rows
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
