@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .fingerprint import fingerprint_report
+from .langid import language_report
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import quality_report
@@ -22,6 +23,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
