@@ -11,6 +11,7 @@ from .fingerprint import fingerprint_report
 from .langid import language_report
 from .ngram_join import near_duplicates
 from .packing import pack
+from .piece_fst import encode_documents
 from .quality import quality_report
 from .sharding import shard_rows
 from .substring import substring_report
@@ -28,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
