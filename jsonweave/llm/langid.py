@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
 
 ORDERS = (5, 4, 3, 2, 1)
 CACHE = 400_000
@@ -48,19 +47,22 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Words and n-grams by row of ``rows``: log frequencies in each language, less their mean."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    rows: np.ndarray
 
     def vector(self, word: str) -> np.ndarray:
-        """Log frequency of a plain word in each language, less the mean over languages."""
+        """A plain word's scores in each language."""
         got = self.words.get(word)
         if got is not None:
-            return got
+            return self.rows[got]
         for n in ORDERS:
-            known = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            known = [i for g in grams(word, n) if (i := self.grams.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.rows[known].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -95,7 +97,7 @@ def fit(labelled: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, m
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     n = rows.count()
     if not n:
-        return Model([], {}, {})
+        return Model([], {}, {}, np.zeros((0, 0)))
     if n > sample_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
     counts = rows.mapInArrow(_count(), "lang string, kind string, item string, c bigint").groupBy("lang", "kind", "item").agg(F.sum("c").alias("c")).where("c > 1 or kind = 'g'")
@@ -104,17 +106,20 @@ def fit(labelled: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, m
     got = top.collect()  # bounded by the languages and the two limits
     langs = sorted({r["lang"] for r in got})
     at = {x: i for i, x in enumerate(langs)}
-    tables = {}
-    for kind in "wg":
-        c: dict[str, np.ndarray] = {}
+    tables, rows = {"w": {}, "g": {}}, [np.zeros((0, len(langs)), np.float32)]
+    for kind, table in tables.items():
+        items = sorted({r["item"] for r in got if r["kind"] == kind})
+        first = sum(map(len, rows))
+        table.update((x, i) for i, x in enumerate(items))
+        counts = np.full((len(items), len(langs)), 0.5)
         for r in got:
             if r["kind"] == kind:
-                c.setdefault(r["item"], np.zeros(len(langs)))[at[r["lang"]]] = r["c"]
-        if c:
-            m = np.array(list(c.values())) + 0.5
-            logs = np.log(m / m.sum(axis=0))
-            tables[kind] = dict(zip(c, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)))
-    return Model(langs, tables.get("w", {}), tables.get("g", {}))
+                counts[table[r["item"]], at[r["lang"]]] += r["c"]
+        if items:
+            logs = np.log(counts / counts.sum(axis=0))
+            rows.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
+        tables[kind] = {x: i + first for x, i in table.items()}
+    return Model(langs, tables["w"], tables["g"], np.concatenate(rows))
 
 
 def _predict(model: Model):
@@ -174,17 +179,13 @@ def language_report(docs: DataFrame, **limits) -> DataFrame:
 def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFrame:
     """The rows of ``docs`` whose language is told with ``min_score`` or more; their columns."""
     model = fit(docs.where(~held_out()), **limits)
-    kinds = docs.schema
-    columns = docs.columns
 
     def run(batches):
         import pyarrow.compute as pc
 
         for batch in batches:
-            narrow = pa.record_batch([batch.column("text")], ["text"])
-            got = next(iter(_kept(iter([narrow]))))
+            got = next(predicted(iter([pa.record_batch([batch.column("text")], ["text"])])))
             yield batch.filter(pc.greater_equal(got.column("score"), min_score))
 
-    _kept = _predict(model)
-    assert "text" in columns
-    return docs.mapInArrow(run, kinds)
+    predicted = _predict(model)
+    return docs.mapInArrow(run, docs.schema)
