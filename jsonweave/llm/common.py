@@ -26,15 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, shelf: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost
-    executor costs a re-read only. The caller's session owns the files."""
+    executor costs a re-read only. Paths of tables that their maker can drop later go to ``shelf``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if shelf is not None:
+        shelf.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, shelf: list[str]) -> None:
+    """Delete the tables on a shelf, which nothing reads any more, and free finished shuffles."""
+    while shelf:
+        path = spark._jvm.org.apache.hadoop.fs.Path(shelf.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 def text_of(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -6,11 +6,11 @@ document with a smaller doc_id, judged on the input. Steps:
 
 1. Documents of equal word sequences are one class; its least doc_id stands for it. In the others every
    window recurs, so nothing more is needed to know of them.
-2. *Anchors.* In every window, the 4-word gram of least hash is its anchor: equal windows have equal
-   anchors, and an anchor serves some five windows. Anchors are dealt out by hash and read as a
+2. *Anchors.* In every window, the 6-word gram of least hash is its anchor: equal windows have equal
+   anchors, and an anchor serves some four windows. Anchors are dealt out by hash and read as a
    stream; those that come twice or more are kept. (About a fifth of the words' number is shuffled.)
 3. *Segments.* The words around a kept anchor, as far as its windows reach, are cut from the texts.
-   Equal segments are summed to one with the least and greatest doc_id, on the map side first.
+   Equal segments of a task are summed to one with the least and greatest doc_id before they move.
 4. *Automata.* Segments of one anchor meet in one shard, some thousands to a shard. Windows of two
    documents or more are confirmed there word by word, with their least doc_id, and become the phrases
    of an Aho-Corasick automaton over the shard's words; the shard's segments stream through it, which
@@ -18,8 +18,9 @@ document with a smaller doc_id, judged on the input. Steps:
    of shards grows with the corpus and the work for a text does not.
 5. *Removal.* What was found goes back to the occurrences of each segment, and to the texts.
 
-Grams in crowded hash buckets (2**18 counters over all documents) are kept without being counted, over
-16 blocks; there each window is a segment of its own, so no anchor gathers an unbounded group.
+Anchors in crowded hash buckets (2**18 counters over all documents; 16 times the mean, or more than a
+task should hold) are kept without being counted, over 16 blocks; there each window is a segment of its
+own, so no anchor gathers an unbounded group.
 Hashes select only; what is removed was compared word by word.
 
 Defined cases: null and empty texts have no words and stay as they are; rows of one doc_id don't remove
@@ -37,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shuffle_partitions, stash
-from .ngram_join import BLOCKS, BUCKET_BITS, _bucket, _levels
+from .common import discard, release, shuffle_partitions, stash
+from .ngram_join import BLOCKS, BUCKET_BITS, _bucket
 from .textnum import U, Words, column_words, mix
 
-GRAM = 4
+GRAM = 6
+HELD = 500_000
 SHARD = 3000
 NONE = 2**63 - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -79,7 +81,13 @@ def anchors(w: Words, width: int) -> tuple[np.ndarray, ...]:
     at, own = least[starts], doc[starts]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (own[1:] != own[:-1]))))
     last = np.append(new[1:], len(starts)) - 1
-    return own[new], at[new], starts[new], starts[last], grams[at[new]]
+    # least hashes are small numbers: scrambled again, they spread over all buckets
+    return own[new], at[new], starts[new], starts[last], mix(grams[at[new]])
+
+
+def crowded_buckets(counts: np.ndarray) -> np.ndarray:
+    mean = counts.sum() / len(counts)
+    return ((counts >= mean + 6 * np.sqrt(mean) + 8) & (counts >= min(16 * mean, HELD))).astype(np.uint8)
 
 
 def _crowding(width: int):
@@ -133,39 +141,73 @@ def _recurring(levels: np.ndarray):
     return run
 
 
-def _segments(width: int, levels: np.ndarray):
-    """(a, o, cls, start, seg): the words around kept anchors, of the rows whose class is theirs."""
+def _cut(batches, width: int, levels: np.ndarray):
+    """The words around kept anchors, of the rows whose class is theirs: lists of (a, rid, o, start, seg)."""
+    for batch in batches:
+        texts, cls, order, kept, rids = (batch.column(c) for c in ("text", "cls", "o", "words", "rid"))
+        for w in column_words(texts):
+            raw = w.data.tobytes()
+            rows: list[tuple] = []
+            _, at, lo, hi, h = found = anchors(w, width)
+            cuts = np.searchsorted(found[0], np.arange(len(w.cut)))
+            crowded = levels[_bucket(h & ~U(BLOCKS - 1))] > 0
+            for i in range(len(w.cut) - 1):
+                a, b, r = int(cuts[i]), int(cuts[i + 1]), w.first + i
+                if a == b or xxhash.xxh3_128_digest(b" ".join(raw[w.doc_at[i] : w.doc_at[i + 1]].split())) != cls[r].as_py():
+                    continue  # without windows, or another text under the same doc_id
+                first, o, rid = int(w.cut[i]), order[r].as_py(), rids[r].as_py()
+                for k in (np.flatnonzero(np.isin(at[a:b] - first, kept[r].values.to_numpy())) + a).tolist():
+                    s, e = int(lo[k]), int(hi[k])
+                    if crowded[k]:
+                        for x in range(s, e + 1):
+                            seg = b" ".join(raw[w.start[x] : w.end[x + width - 1]].split())
+                            rows.append((xxhash.xxh3_64_intdigest(seg, 1), rid, o, x - first, seg))
+                    else:
+                        rows.append((int(h[k]), rid, o, s - first, b" ".join(raw[w.start[s] : w.end[e + width - 1]].split())))
+            if rows:
+                yield rows
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, U).view(np.int64))
+
+
+def _segments(width: int, levels: np.ndarray, hold: int = 100_000):
+    """(a, seg, lo, hi): distinct segments with their least and greatest document, summed before they are shuffled."""
 
     def run(batches):
-        for batch in batches:
-            texts, cls, order, kept = (batch.column(c) for c in ("text", "cls", "o", "words"))
-            for w in column_words(texts):
-                raw = w.data.tobytes()
-                rows: list[tuple] = []
-                doc, at, lo, hi, h = anchors(w, width)
-                cuts = np.searchsorted(doc, np.arange(len(w.cut)))
-                crowded = levels[_bucket(h & ~U(BLOCKS - 1))] > 0
-                for i in range(len(w.cut) - 1):
-                    a, b, r = int(cuts[i]), int(cuts[i + 1]), w.first + i
-                    if a == b:
-                        continue
-                    joined = b" ".join(raw[w.doc_at[i] : w.doc_at[i + 1]].split())
-                    c = cls[r].as_py()
-                    if xxhash.xxh3_128_digest(joined) != c:
-                        continue  # another text under the same doc_id
-                    first, o = int(w.cut[i]), order[r].as_py()
-                    wanted = np.flatnonzero(np.isin(at[a:b] - first, kept[r].values.to_numpy())) + a
-                    for k in wanted.tolist():
-                        s, e = int(lo[k]), int(hi[k])
-                        if crowded[k]:
-                            for x in range(s, e + 1):
-                                seg = b" ".join(raw[w.start[x] : w.end[x + width - 1]].split())
-                                rows.append((xxhash.xxh3_64_intdigest(seg, 1), o, c, x - first, seg))
-                        else:
-                            rows.append((int(h[k]), o, c, s - first, b" ".join(raw[w.start[s] : w.end[e + width - 1]].split())))
-                if rows:
-                    a, o, c, s, seg = zip(*rows)
-                    yield pa.record_batch([pa.array(np.array(a, U).view(np.int64)), pa.array(o, pa.int64()), pa.array(c, pa.binary()), pa.array(s, pa.int64()), pa.array(seg, pa.binary())], ["a", "o", "cls", "start", "seg"])
+        seen: dict[tuple, list[int]] = {}
+
+        def out():
+            a, seg = zip(*seen)
+            lo, hi = zip(*seen.values())
+            return pa.record_batch([_signed(a), pa.array(seg, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "seg", "lo", "hi"])
+
+        for rows in _cut(batches, width, levels):
+            for a, _, o, _, seg in rows:
+                old = seen.get((a, seg))
+                if old is None:
+                    seen[a, seg] = [o, o]
+                elif o < old[0]:
+                    old[0] = o
+                elif o > old[1]:
+                    old[1] = o
+            if len(seen) > hold:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    return run
+
+
+def _occurrences(width: int, levels: np.ndarray):
+    """(a, rid, o, start, sh): where segments stand, by their hash."""
+
+    def run(batches):
+        for rows in _cut(batches, width, levels):
+            a, rid, o, start, seg = zip(*rows)
+            yield pa.record_batch([_signed(a), pa.array(rid, pa.int64()), pa.array(o, pa.int64()), pa.array(start, pa.int64()), _signed([xxhash.xxh3_64_intdigest(x) for x in seg])], ["a", "rid", "o", "start", "sh"])
 
     return run
 
@@ -212,7 +254,12 @@ def _automata(width: int):
         shard: list[tuple] = []
 
         def flush(part):
-            found = [(a, xxhash.xxh3_64_intdigest(seg), f) for (a, seg, _, _), f in zip(part, locate([x[1:] for x in part], width)) if f]
+            merged: dict[tuple, tuple] = {}  # a segment comes from several tasks
+            for a, seg, lo, hi in part:
+                old = merged.get((a, seg), (lo, hi))
+                merged[a, seg] = (min(lo, old[0]), max(hi, old[1]))
+            firsts = locate([(seg, *ends) for (_, seg), ends in merged.items()], width)
+            found = [(a, xxhash.xxh3_64_intdigest(seg), f) for (a, seg), f in zip(merged, firsts) if f]
             if found:
                 a, sh, f = zip(*found)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(np.array(sh, U).view(np.int64)), pa.array(f, pa.list_(pa.int64()))], ["a", "sh", "firsts"])
@@ -228,12 +275,6 @@ def _automata(width: int):
     return run
 
 
-def _sh(batches):
-    for batch in batches:
-        sh = np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column("seg").to_pylist()], U).view(np.int64)
-        yield pa.record_batch([*(batch.column(c) for c in ("a", "o", "cls", "start")), pa.array(sh)], ["a", "o", "cls", "start", "sh"])
-
-
 def _removals(width: int):
     """(o, cls, n_removed, kept_sha256, cleaned) of rows (o, cls, text, found)."""
 
@@ -247,6 +288,8 @@ def _removals(width: int):
                 for i in range(len(w.cut) - 1):
                     r, a, b = w.first + i, int(w.cut[i]), int(w.cut[i + 1])
                     begin, close = raw[w.doc_at[i] : w.doc_at[i + 1]], int(w.doc_at[i])
+                    if xxhash.xxh3_128_digest(b" ".join(begin.split())) != cls[r]:
+                        continue  # another text under the same doc_id
                     steps = np.zeros(b - a + width + 1, np.int64)
                     for x in found[r]:
                         for k, f in enumerate(x["firsts"]):
@@ -272,34 +315,36 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     One row per (o, cls) that loses words though it is its class's first: n_removed, kept_sha256, cleaned."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = 2 * shuffle_partitions(spark)
+    parts, shelf = 2 * shuffle_partitions(spark), []
     own = stash(docs.mapInArrow(_summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own")
     reps = own.groupBy("cls").agg(F.min("o").alias("rep"))
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in docs.mapInArrow(_crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # 2**18 rows at most
         counts[r["bucket"]] = r["c"]
-    levels = _levels(counts)
+    levels = crowded_buckets(counts)
 
     cells = docs.mapInArrow(_anchor_rows(width, levels), "h bigint, o bigint, word bigint").repartition(parts, "h").sortWithinPartitions("h")
     kept = cells.mapInArrow(_recurring(levels), "o bigint, word bigint")
     firsts = own.where(f"n_words >= {width}").select("o", "cls").distinct().join(reps, "cls").where("o = rep").select("o", "cls")
-    kept = stash(kept.groupBy("o").agg(F.collect_set("word").alias("words")).join(firsts, "o"), "sub-anchors")
+    kept = stash(kept.groupBy("o").agg(F.collect_set("word").alias("words")).join(firsts, "o").withColumn("rid", F.monotonically_increasing_id()), "sub-anchors", shelf)
     del cells
     release(spark)
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("o"), "text")
-    near = stash(texts.join(kept, "o").select("o", "cls", "text", "words"), "sub-texts")
+    near = stash(texts.join(kept, "o").select("rid", "o", "cls", "text", "words"), "sub-texts", shelf)
     release(spark)
-    found = stash(near.mapInArrow(_segments(width, levels), "a bigint, o bigint, cls binary, start bigint, seg binary"), "sub-segments")
-    distinct = found.groupBy("a", "seg").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
-    phrases = stash(distinct.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases")
-    del distinct
+    segments = near.mapInArrow(_segments(width, levels), "a bigint, seg binary, lo bigint, hi bigint").repartition(parts, "a").sortWithinPartitions("a")
+    phrases = stash(segments.mapInArrow(_automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases", shelf)
+    del segments
     release(spark)
 
-    hits = found.mapInArrow(_sh, "a bigint, o bigint, cls binary, start bigint, sh bigint").join(phrases, ["a", "sh"])
-    hits = hits.where(F.array_min("firsts") < F.col("o")).groupBy("o", "cls").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))
-    lost = near.select("o", "cls", "text").join(hits, ["o", "cls"]).mapInArrow(_removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
-    return own.join(reps, "cls"), lost.where("n_removed > 0")
+    hits = near.mapInArrow(_occurrences(width, levels), "a bigint, rid bigint, o bigint, start bigint, sh bigint").join(phrases, ["a", "sh"])
+    hits = hits.where(F.array_min("firsts") < F.col("o")).groupBy("rid").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))
+    lost = near.select("rid", "o", "cls", "text").join(hits, "rid").select("o", "cls", "text", "found").mapInArrow(_removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
+    lost = stash(lost.where("n_removed > 0"), "sub-lost")
+    del near, phrases, hits, kept
+    discard(spark, shelf)
+    return own.join(reps, "cls"), lost
 
 
 def substring_report(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -327,7 +372,7 @@ def _classes(column: int):
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """``docs`` with recurring passages taken out of the texts; rows of which nothing is left go."""
     own, lost = repeated_words(docs, width)
-    lost = stash(lost.select("o", "cls", "cleaned").dropDuplicates(["o", "cls"]), "sub-cleaned")
+    lost = lost.select("o", "cls", "cleaned").dropDuplicates(["o", "cls"])
     state = own.groupBy("o", "cls").agg(F.max((F.col("o") > F.col("rep")) & (F.col("n_words") >= width)).alias("copy"))
     state = state.where("not copy").join(lost, ["o", "cls"], "left").select(F.col("o").alias("_o"), F.col("cls").alias("_cls"), F.col("cleaned").alias("_cleaned"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
