@@ -6,17 +6,19 @@ Two documents link when the Jaccard similarity of their sets of n-word shingles
 1. *Classes.* Documents of equal sets are one row of the matrix (its least doc_id stands for it), so
    exact copies, however many, cost one row.
 2. *Order.* Shingles are put in one order for all documents: those that fall in crowded hash buckets
-   (counted over all documents, 2**16 counters whatever the input) come last, others by hash. With
+   (counted over all documents, 2**18 counters whatever the input) come last, others by hash. With
    n shingles, a linked pair shares one among the first n - ceil(percent n / 100) + 1 of each.
-3. *Product.* The incidences of those columns are dealt out by column; a column's rows are read in
-   order of set size, in a stream. Its first row is a pivot; every row of compatible size makes a
-   candidate with its pivot. Very crowded columns are first split over 16 blocks.
-4. *Completion.* The overlap of a candidate is counted over the remaining columns, and candidates
-   below the bound ceil(percent (n1 + n2) / (100 + percent)) are discarded: exact, from whole texts.
+3. *Product.* The incidences of those columns are dealt out by column (very crowded columns over 16
+   blocks) and read as a stream; columns with one row say nothing. In a column, every row of
+   compatible size is paired with its hub, the document of whose prefix most is shared, and overlap
+   counts are accumulated over the columns where a pair meets.
+4. *Completion.* The overlap of a candidate is counted over the remaining columns, and pairs below
+   the bound ceil(percent (n1 + n2) / (100 + percent)) are discarded: exact, from whole texts.
 5. *Residue.* Links give components. A column whose rows all lie in one component has nothing to
-   add. In others, rows of different components are paired, with overlap counts accumulated over
-   columns; pairs whose bound from sizes and places in the order is too low are discarded, the rest
-   completed as in 4. So no link between two components is lost, and none within one is needed.
+   add. In others, rows of different components are paired, the most crowded columns of each set aside as
+   far as a linked pair must still meet elsewhere. Pairs that meet in fewer columns than their sizes ask
+   for are discarded, the rest completed as in 4. So no link between two components is lost, and none
+   within one is needed.
 
 A group of m near copies costs about m candidates, not m * m. No cap is set anywhere.
 
@@ -32,14 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, shuffle_partitions, stash
+from .common import discard, release, shuffle_partitions, stash
 from .components import connected_components
 from .textnum import U, Words, column_words, mix
 
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 BLOCKS = 16
 
 
@@ -66,7 +68,7 @@ def needed_overlap(n1, n2, percent: int):
 def _levels(counts: np.ndarray) -> np.ndarray:
     """0 for ordinary buckets; for crowded ones twice the binary logarithm of how crowded."""
     mean = max(1.0, counts.sum() / len(counts))
-    return np.where(counts >= 1.5 * mean + 64, np.floor(2 * np.log2(np.maximum(counts / mean, 1.0))) + 1, 0).astype(np.uint8)
+    return np.where(counts >= mean + 6 * np.sqrt(mean) + 8, np.floor(2 * np.log2(np.maximum(counts / mean, 1.0))) + 1, 0).astype(np.uint8)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -142,51 +144,27 @@ def _incidences(levels: np.ndarray):
     return run
 
 
-def _pivots(percent: int, levels: np.ndarray):
-    """From rows in order of (h, pack): those of columns with two rows or more, each with its pivot."""
+def _shared(levels: np.ndarray):
+    """From rows in order of h: those of columns with two rows or more, and of crowded columns."""
+    names = ["h", "pack", "doc"]
 
     def run(batches):
-        last_h, pivot, pivot_n, waiting = None, 0, 0, None
+        last_h, waiting = None, None
         for batch in batches:
-            h, pack, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cells = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            h = cells[0]
             if not len(h):
                 continue
-            n = pack >> 32
-            cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            size = np.diff(np.append(cuts, len(h)))
-            keep = (size > 1) | (levels[_bucket(h[cuts].view(U))] > 0)
+            same = h[1:] == h[:-1]
             goes_on = last_h is not None and h[0] == last_h
-            keep[0] |= goes_on
-            keep[-1] = True  # its column may go on in the next batch
-            out_h, out_pack, out_doc, out_pivot = [], [], [], []
-            if waiting is not None:
-                if goes_on:
-                    for o, v in zip((out_h, out_pack, out_doc, out_pivot), waiting):
-                        o.append(np.array([v]))
-                waiting = None
-            for a, s in zip(cuts[keep].tolist(), size[keep].tolist()):
-                own = np.empty(s, np.int64)
-                first = a == 0 and goes_on
-                if not first:
-                    pivot, pivot_n = int(doc[a]), int(n[a])
-                i = 0
-                while i < s:
-                    reach = int(np.searchsorted(n[a : a + s], 100 * pivot_n // percent, "right"))
-                    own[i:reach] = pivot
-                    i = max(i, reach)
-                    if i < s:
-                        pivot, pivot_n = int(doc[a + i]), int(n[a + i])
-                crowded = levels[int(_bucket(h[a : a + 1].view(U))[0])] > 0
-                if s == 1 and not first and not crowded:  # only the batch's last column comes here alone
-                    waiting = (h[a], pack[a], doc[a], pivot)
-                    continue
-                out_h.append(h[a : a + s])
-                out_pack.append(pack[a : a + s])
-                out_doc.append(doc[a : a + s])
-                out_pivot.append(own)
+            keep = np.concatenate(([goes_on], same)) | np.concatenate((same, [False])) | (levels[_bucket(h.view(U))] > 0)
+            out = [[c[keep]] for c in cells]
+            if waiting is not None and goes_on:
+                for o, c in zip(out, waiting):
+                    o.append(c)
+            waiting = None if keep[-1] else [c[-1:] for c in cells]
             last_h = h[-1]
-            if out_h:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_h, out_pack, out_doc, out_pivot)], ["h", "pack", "doc", "pivot"])
+            yield pa.record_batch([pa.array(np.concatenate(o)) for o in out], names)
 
     return run
 
@@ -213,23 +191,127 @@ def _complete(n: int, percent: int, step: int = 512):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+def _size(pack) -> Column:
+    return F.shiftright(pack, 32)
+
+
+def _least_shared(pack_x, pack_y, percent: int) -> Column:
+    """How many columns of their prefixes a linked pair shares at least: its overlap, less all the
+    columns of one of the two that are beyond its prefix."""
+    need = F.ceil(percent * (_size(pack_x) + _size(pack_y)) / (100 + percent))
+    beyond = F.greatest(*(F.ceil(percent * _size(p) / 100) - 1 for p in (pack_x, pack_y)))
+    return F.greatest(need - beyond, F.lit(1))
+
+
+def _spared(least: Column) -> Column:
+    """How many of a row's most crowded columns needn't be multiplied, if ``least`` are shared."""
+    return F.floor((least - 1) / 2)
+
+
+def _promising(met: DataFrame, percent: int, spared: bool) -> DataFrame:
+    """Pairs (a, b) that meet in enough columns (rows: documents and packs of both)."""
+    least = _least_shared("pack", "other_pack", percent)
+    cells = met.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), (least - _spared(least) if spared else least).alias("least"))
+    return cells.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
+
+
+FILTER_BITS = 23
+
+
+def _positions(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(U)) >> U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``. A bitmap of fixed size (1 MB) is made of the ids first, so
+    that the texts of other documents stay where they are; where ids fill it, the join alone decides."""
+
+    def mark(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_positions(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    packed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in ids.coalesce(4).mapInArrow(mark, "bits binary").collect():  # four rows of 1 MB at most
+        packed |= np.frombuffer(r["bits"], np.uint8)
+
+    def drop(batches):
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            kept = batch.filter(pa.array(bits[_positions(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))]))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(drop, docs.schema).join(ids, "doc_id")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str, shelf: list[str]) -> DataFrame:
+    """The pairs that link, by the whole texts of the documents in them."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stash(_only(docs, stash(ids, f"{name}-ids", shelf)), f"{name}-texts", shelf)
     full = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return stash(full.mapInArrow(_complete(n, percent), "a bigint, b bigint"), name)
+    out = stash(full.mapInArrow(_complete(n, percent), "a bigint, b bigint"), name, shelf)
+    del texts, full
+    release(docs.sparkSession)
+    return out
+
+
+def _compatible(pack_x, pack_y, percent: int) -> Column:
+    return 100 * F.least(_size(pack_x), _size(pack_y)) >= percent * F.greatest(_size(pack_x), _size(pack_y))
+
+
+def _with_hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row of a column with the column's row of highest score, if their sizes are compatible."""
+    best = rows.groupBy("k").agg(F.max(F.struct("score", "doc", "pack")).alias("m"))
+    best = best.select("k", F.col("m.doc").alias("other"), F.col("m.pack").alias("other_pack"))
+    return rows.join(best, "k").where((F.col("doc") != F.col("other")) & _compatible("pack", "other_pack", percent)).select("doc", "pack", "other", "other_pack")
+
+
+def _across_components(rows: DataFrame, parts: DataFrame, percent: int, shelf: list[str]) -> DataFrame:
+    """Pairs of rows of one column that lie in different components, of compatible sizes.
+
+    Columns are ordered by their number of rows. If a pair shares s columns of the prefixes at least, it
+    shares s - t of them when each of the two leaves out its t most crowded ones: what is left out of the
+    shared columns is the crowded end of their order, the same for both.
+    """
+    label = F.coalesce("component", "doc").alias("comp")
+    named = rows.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("k", "pack", "doc", label)
+    mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("crowd")).where("lo <> hi").select("k", "crowd")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("crowd"), F.desc("k"))) - 1
+    named = stash(named.join(mixed, "k").select("k", "pack", "doc", "comp", place.alias("place")), "ngram-mixed", shelf)
+    x, y = named.alias("x"), named.alias("y")
+    size_x, size_y = _size("x.pack"), _size("y.pack")
+    return x.join(
+        y,
+        (F.col("x.k") == F.col("y.k"))
+        & ((size_x < size_y) | ((size_x == size_y) & (F.col("x.doc") < F.col("y.doc"))))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & _compatible("x.pack", "y.pack", percent)
+        & (F.least("x.place", "y.place") >= _spared(_least_shared("x.pack", "y.pack", percent))),
+    ).select(F.col("x.doc").alias("doc"), F.col("x.pack").alias("pack"), F.col("y.doc").alias("other"), F.col("y.pack").alias("other_pack"))
+
+
+def _merge(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    a, b = (parts.select(F.col("node").alias(v), F.col("component").alias(f"c{v}")) for v in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    whole = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return parts.join(whole, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("whole", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs, shelf, columns = docs.select("doc_id", "text"), [], []
     own = stash(docs.mapInArrow(_summaries(n), "doc_id bigint, n bigint, key binary"), "ngram-sets")
     classes = own.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in docs.mapInArrow(_crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # 2**16 rows at most
+    for r in docs.mapInArrow(_crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # 2**18 rows at most
         counts[r["bucket"]] = r["c"]
     levels = _levels(counts)
 
@@ -237,48 +319,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     heads = heads.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "n", "head")
     cells = heads.mapInArrow(_incidences(levels), "h bigint, pack bigint, doc bigint")
     cells = cells.repartition(2 * shuffle_partitions(spark), "h").sortWithinPartitions("h", "pack")
-    rows = stash(cells.mapInArrow(_pivots(percent, levels), "h bigint, pack bigint, doc bigint, pivot bigint"), "ngram-columns")
+    rows = stash(cells.mapInArrow(_shared(levels), "h bigint, pack bigint, doc bigint"), "ngram-columns", columns)
     del heads, cells
     release(spark)
 
-    # blocks of one crowded column meet through their pivots
-    column = F.shiftright("h", 4)
-    size = F.shiftright("pack", 32)
-    tops = rows.where("doc = pivot").groupBy(column.alias("k")).agg(F.min_by("doc", "pack").alias("top"), F.count("*").alias("c")).where("c > 1")
-    across = rows.where("doc = pivot").withColumn("k", column).join(tops, "k").where("doc <> top").select(F.least("doc", "top").alias("a"), F.greatest("doc", "top").alias("b"))
-    stars = rows.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-    pairs = stash(stars.unionByName(across).distinct(), "ngram-pairs")
-    texts = stash(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"), "ngram-texts")
-    release(spark)
-    links = _links(pairs, texts, n, percent, "ngram-links")
-    parts = stash(connected_components(links), "ngram-parts")
-    release(spark)
-
-    # residue: columns with rows of several components
-    label = F.coalesce("component", "doc").alias("comp")
-    named = rows.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(column.alias("k"), size.alias("n"), F.col("pack").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), "doc", label)
-    mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
-    named = stash(named.join(mixed, "k"), "ngram-mixed")
-    x, y = named.alias("x"), named.alias("y")
-    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    beyond = F.greatest(*(F.ceil(percent * F.col(f"{v}.n") / 100) - 1 for v in "xy"))  # n less the size of its prefix
-    met = x.join(
-        y,
-        (F.col("x.k") == F.col("y.k"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc"))))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * F.col("x.n") >= percent * F.col("y.n")),
-    ).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), need.alias("need"), rest.alias("rest"), beyond.alias("beyond"))
-    # two bounds: what is left after the first column that a pair shares; the columns shared among
-    # the first ones, and all the others of one of the two
-    more = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("rest").alias("rest"), F.max("need").alias("need"), F.max("beyond").alias("beyond"))
-    more = more.where((F.col("rest") >= F.col("need")) & (F.col("c") + F.col("beyond") >= F.col("need"))).select("a", "b")
-    late = _links(more, texts, n, percent, "ngram-late")
-    name = parts.select(F.col("node"), "component")
-    late = late.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    found = parts.join(joined, "component", "full").select(F.coalesce("node", "component").alias("rep"), F.coalesce("whole", "component").alias("least"))
+    # How much of a document's prefix is shared: the texts that others were made from come first.
+    head = F.shiftright("pack", 32) - F.ceil(percent * F.shiftright("pack", 32) / 100) + 1
+    score = rows.groupBy("doc").agg((F.count("*") / F.max(head)).alias("score"))
+    rows = stash(rows.select(F.shiftright("h", 4).alias("k"), "pack", "doc").join(score, "doc"), "ngram-rows", columns)
+    parts = None
+    for name in ("ngram-hubs", "ngram-late"):
+        met = _with_hubs(rows, percent) if parts is None else _across_components(rows, parts, percent, shelf)
+        pairs = stash(_promising(met, percent, parts is not None), f"{name}-pairs", shelf)
+        links = _links(pairs, docs, n, percent, name, shelf)
+        parts = stash(connected_components(links) if parts is None else _merge(parts, links), f"{name}-parts")
+        del met, pairs, links
+        discard(spark, shelf)
+    discard(spark, columns)
+    found = parts.select(F.col("node").alias("rep"), F.col("component").alias("least"))
 
     by_key = classes.join(found, "rep", "left").select("key", F.coalesce("least", "rep").alias("least"))
     out = own.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("key"))
