@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .geo import geometry_type, geometry_within
 
@@ -175,21 +176,45 @@ def attributes(ast) -> list[str]:
     return list(dict.fromkeys(x for p in parts for x in attributes(p)))
 
 
-def to_column(ast, resolve: Callable[[str], Column]) -> Column:
-    """A boolean column, never null; ``resolve`` gives the column of an attribute (null if there is none)."""
+def _compare(operator: str, left: Column, right: Column, value, kinds: tuple) -> Column:
+    """One comparison. A text column (a key whose values are of several types) never fails to cast: it is compared
+    with numbers where it reads as one, and with booleans as text."""
+    f, (a, b) = OPERATORS[operator], kinds
+    if operator == "in" and isinstance(value, tuple) and isinstance(a, T.StringType) and not all(isinstance(v, str) for v in value):
+        return reduce(lambda x, y: x | y, (_compare("==", left, F.lit(v), v, kinds) for v in value if v is not None), F.lit(False))
+    if operator not in ("==", "!=", "<", "<=", ">", ">="):
+        return f(left, right, value)
+    if isinstance(a, T.StringType) and isinstance(value, bool):
+        return f(left, F.lit(str(value).lower()), str(value).lower())
+    if isinstance(a, T.StringType) and isinstance(value, int):
+        whole = left.try_cast("bigint")
+        return F.when(whole.isNotNull(), f(whole, right, value)).otherwise(f(left.try_cast("double"), right, value))
+    if isinstance(a, T.StringType) and (isinstance(value, float) or isinstance(b, T.NumericType)):
+        return f(left.try_cast("double"), right, value)
+    if isinstance(b, T.StringType) and isinstance(a, T.NumericType):
+        return f(left, right.try_cast("double"), value)
+    return f(left, right, value)
+
+
+def to_column(ast, resolve: Callable[[str], Column], kind_of: Callable[[str], T.DataType | None] = lambda name: None) -> Column:
+    """A boolean column, never null; ``resolve`` gives the column of an attribute (null if there is none), ``kind_of`` its type."""
     if isinstance(ast, Logic):
-        parts = [to_column(p, resolve) for p in ast.parts]
+        parts = [to_column(p, resolve, kind_of) for p in ast.parts]
         if ast.operator == "~":
             return ~parts[0]
         return reduce((lambda a, b: a & b) if ast.operator == "&&" else (lambda a, b: a | b), parts)
 
-    def side(x) -> Column:
+    def side(x, array: bool = False) -> tuple[Column, T.DataType | None]:
         if isinstance(x, Attribute):
-            return resolve(x.name)
-        return F.lit(None) if x.value is None or isinstance(x.value, tuple) else F.lit(x.value)
+            c, kind = resolve(x.name), kind_of(x.name)
+            if isinstance(kind, T.StructType) or (isinstance(kind, T.ArrayType) and not array):
+                return F.to_json(c), T.StringType()
+            return c, kind
+        return (F.lit(None) if x.value is None or isinstance(x.value, tuple) else F.lit(x.value)), None
 
     value = ast.right.value if isinstance(ast.right, Literal) else None
-    left, right = side(ast.left), side(ast.right)
-    if ast.operator in ("<", "<=", ">", ">=") and isinstance(value, (int, float)) and not isinstance(value, bool):
-        left = left.try_cast("double") if isinstance(value, float) else left
-    return OPERATORS[ast.operator](left, right, value)
+    (left, a), (right, b) = side(ast.left), side(ast.right, ast.operator == "in")
+    if ast.operator in ("<", "<=", ">", ">=") and isinstance(value, float):
+        left = left.try_cast("double")
+        a = None
+    return _compare(ast.operator, left, right, value, (a, b))

@@ -36,7 +36,13 @@ def _filter(node: Node, value: Column, kind: T.DataType | None) -> Column | None
                 column = column.getField(k)
             return column
 
-        c = to_column(parse_filter(text), resolve)
+        def kind_of(name: str) -> T.DataType | None:
+            own = kind
+            for k in name.split(".") if name else ():
+                own = _field(own, k)
+            return own
+
+        c = to_column(parse_filter(text), resolve, kind_of)
         out = c if out is None else out & c
     return out
 
@@ -207,13 +213,10 @@ def column_name(node: Node) -> str:
     return str(node.step.name) if node.step.kind in (CHILD, DESCEND) else "value"
 
 
-def expand(df: DataFrame, query: Query, kind: T.DataType | None, keep: list[str], name: str | None = None) -> DataFrame:
-    """Rows of ``query`` from column VALUE of type ``kind``; ``keep`` columns go along.
-
-    ``name``: of the single column if rows aren't objects and the path names none.
-    """
+def matches(df: DataFrame, chain: list[Node], kind: T.DataType | None, keep: list[str], name: str | None = None) -> tuple[DataFrame, T.DataType | None, str | None]:
+    """The rows of ``chain`` in column VALUE, their type, and the last name on the way."""
     last = name
-    for node in query.chain:
+    for node in chain:
         value, step = F.col(VALUE), node.step
         if step.kind == CHILD:
             own = _field(kind, step.name)
@@ -245,6 +248,15 @@ def expand(df: DataFrame, query: Query, kind: T.DataType | None, keep: list[str]
             df = df.where(test)
         elif step.kind in (CHILD, INDEX):
             df = df.where(F.col(VALUE).isNotNull())
+    return df, kind, last
+
+
+def expand(df: DataFrame, query: Query, kind: T.DataType | None, keep: list[str], name: str | None = None) -> DataFrame:
+    """Rows of ``query`` from column VALUE of type ``kind``; ``keep`` columns go along.
+
+    ``name``: of the single column if rows aren't objects and the path names none.
+    """
+    df, kind, last = matches(df, query.chain, kind, keep, name)
     out, value = query.output, F.col(VALUE)
     if out.ends or not out.children:
         if isinstance(kind, T.StructType):

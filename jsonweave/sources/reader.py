@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans import lattice
-from ..plans.compiler import VALUE, expand
+from ..plans import lattice, needs
+from ..plans.compiler import VALUE, expand, matches
+from ..plans.compiler import _filter as filters
 from ..plans.paths import CHILD, EACH, Node, Query, build
 from . import splitter
 
@@ -22,7 +23,8 @@ SAMPLE = 1000
 @dataclass(frozen=True)
 class ReadOptions:
     """``partitioning``: 'fullPass' (exact split), 'speculation', or 'whole' (a file a task; any encoding).
-    ``schema_builder``: 'start' (the first 1000 records) or 'fullPass' (all). ``schema``: of a record of the
+    ``schema_builder``: 'start' (columns of the first 1000 matches; what
+    decides over matches is typed by all records) or 'fullPass' (all of all records). ``schema``: of a record of the
     split, or of the rows if the path ends there. ``mode``: PERMISSIVE or FAILFAST."""
 
     schema: T.StructType | str | None = None
@@ -140,6 +142,48 @@ def infer_type(rows: DataFrame, full: bool):
     return reduce(lattice.merge, (json.loads(r["t"]) for r in got), "null")
 
 
+def _matching_type(rows: DataFrame, query: Query, own: Node | None):
+    """The type of a record: what decides over matches from all records, and below the end of the paths the
+    columns of the first ``SAMPLE`` matches. One pass over the texts and one over those up to the sample."""
+    need = at = needs.needs(query, own)
+
+    def run(batches):
+        out = "null"
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                try:
+                    out = needs.join(out, needs.type_of(json.loads(text, strict=False), need), need)
+                except (ValueError, TypeError, RecursionError):
+                    continue
+        yield pa.record_batch([pa.array([json.dumps(out)])], ["t"])
+
+    got = rows.select("text").mapInArrow(run, "t string").collect()  # one type a partition
+    kind = reduce(lambda a, b: needs.join(a, b, need), (json.loads(r["t"]) for r in got), "null")
+    for node in query.chain:
+        if at.whole:
+            return needs.settled(kind, need)
+        at = at.keys[str(node.step.name)] if node.step.kind == CHILD else at.each
+    _, end = needs.at_end(kind, query.chain, lambda t: t)
+    if at.end and end is not None and "obj" in json.dumps(end):
+        last = query.chain[-1] if query.chain else own
+        # the matches' own texts: filters of the last node read them, those before read the record
+        chain = [*query.chain[:-1], Node(last.step)] if query.chain else []
+        plain, _ = needs.at_end(needs.settled(kind, need), query.chain, lambda t: "str")
+        if query.chain:
+            df = rows.select(parsed(F.col("text"), lattice.to_spark(plain)).alias(VALUE))
+            if own is not None:
+                df = df.where(filters(own, F.col(VALUE), lattice.to_spark(plain)))
+            df, _, _ = matches(df, chain, lattice.to_spark(plain), [])
+        else:
+            df = rows.select(F.col("text").alias(VALUE))
+        if last is not None and last.filters:
+            inner = lattice.to_spark(needs.settled(end, at)) or T.StringType()
+            df = df.where(filters(last, parsed(F.col(VALUE), inner), inner))
+        sample = lattice.sample_type(r[0] for r in df.select(VALUE).limit(SAMPLE).collect())
+        kind, _ = needs.at_end(kind, query.chain, lambda t: needs.join(t, sample, at))
+    return needs.settled(kind, need)
+
+
 def parsed(text: Column, kind: T.DataType, mode: str = "PERMISSIVE") -> Column:
     """A JSON text of any kind as a typed value; text columns of objects and arrays keep their JSON."""
     wrapped = T.StructType([T.StructField("v", kind)])
@@ -158,8 +202,13 @@ def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, *
     kind = o.schema
     if isinstance(kind, str):
         kind = T._parse_datatype_string(kind)
+    own = rest[0] if rest and rest[0].step.kind == EACH and array else None  # the array's own filter: the element is the value already
+    query = Query(rest[1:] if own else rest, query.output)
     if kind is None:
-        kind = lattice.to_spark(infer_type(rows, o.schema_builder == "fullPass"))
+        if o.schema_builder == "fullPass" or (own is None and not query.chain and query.output.ends):  # all records match
+            kind = lattice.to_spark(infer_type(rows, o.schema_builder == "fullPass"))
+        else:
+            kind = lattice.to_spark(_matching_type(rows, query, own))
     keep, extra = [], []
     if kind is None:
         kind = T.StringType()
@@ -174,13 +223,8 @@ def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, *
         keep.append("extra_fields")
         extra = ["extra_fields"]
     df = rows.select(*keep, parsed(F.col("text"), kind, o.mode).alias(VALUE))
-    query = Query(rest, query.output)
-    if rest and rest[0].step.kind == EACH and array:  # the array's own filter: the element is the value already
-        element = rest[0]
-        query = Query(rest[1:], query.output if len(rest) > 1 else query.output)
-        from ..plans.compiler import _filter
-
-        df = df.where(_filter(element, F.col(VALUE), kind))
+    if own is not None:
+        df = df.where(filters(own, F.col(VALUE), kind))
     out = expand(df, query, kind, keep, keys[-1] if array and keys else None)
     order = [c for c in out.columns if c not in keep]
     return out.select(*order, *extra, *(c for c in keep if c not in extra))
