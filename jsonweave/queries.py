@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.column_path import jsonpath
+from .operators.key_statistics import key_statistics
 from .sources.fixtures import fixture
 from .sources.reader import count_records, read_json_path
 from .sources.shared import shared_dir, short
@@ -287,13 +288,26 @@ def _(spark, sf):
 
 @_query("key_statistics", "SELECT 'c_name' AS key, 1::BIGINT AS level, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'o_orderkey', 0, count(*) FROM orders")
 def _(spark, sf):
-    """Occurrences of keys by level: of records, and of the objects in them."""
-    from .sources.reader import ReadOptions, split_records
+    """The rows of ``key_statistics_all`` that its SQL has."""
+    return key_statistics(spark, fixture(spark, sf, "orders_doc"), "$.orders[*]").where("key in ('c_name', 'o_orderkey')")
 
-    rows = split_records(spark, fixture(spark, sf, "orders_doc"), ["orders"], True, ReadOptions())
-    top = rows.select(F.explode(F.json_object_keys("text")).alias("key"), F.lit(0).cast("bigint").alias("level"))
-    inner = rows.select(F.explode(F.json_object_keys(F.get_json_object("text", "$.customer"))).alias("key"), F.lit(1).cast("bigint").alias("level"))
-    return top.unionByName(inner).groupBy("key", "level").agg(F.count("*").alias("n")).where("key in ('c_name', 'o_orderkey')")
+
+_RECORD = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+_ITEM = "l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+_KEYS = [
+    *(f"SELECT '{c}' AS key, 0::BIGINT AS level, count({c})::BIGINT AS n FROM orders" for c in _RECORD),
+    "SELECT 'big', 0, count(o_totalprice) FROM orders WHERE o_orderkey % 3 <> 0",
+    "SELECT 'customer', 0, count(*) FROM orders JOIN customer ON o_custkey = c_custkey",
+    "SELECT 'lineitems', 0, count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+    *(f"SELECT '{c}', 1, count({c}) FROM orders JOIN customer ON o_custkey = c_custkey" for c in ("c_name", "c_mktsegment")),
+    *(f"SELECT '{c}', 2, count({c}) FROM orders JOIN lineitem ON l_orderkey = o_orderkey" for c in _ITEM),
+]
+
+
+@_query("key_statistics_all", " UNION ALL ".join(_KEYS))
+def _(spark, sf):
+    """Occurrences of all keys by level, in objects and arrays of any depth."""
+    return key_statistics(spark, fixture(spark, sf, "orders_doc"), "$.orders[*]")
 
 
 @_query("stream_json_lines", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
