@@ -6,8 +6,9 @@ the model knows it; an unseen word by the mean over its n-grams of the greatest
 model knows any; a word with no known n-gram says nothing. Scores add up over the whole text; the
 posterior under equal priors gives the language and its score.
 
-Fitting takes a bounded sample of the labelled rows (``sample_docs``, chosen by a hash of the text);
-its tables are bounded too (``max_words`` and ``max_grams`` a language), so the model that goes to the
+Fitting takes a bounded sample of the labelled rows of each language (about ``sample_docs``, chosen by a
+hash of the text; all if there are no more), so a rare language is learned at any size of the table. Words
+of any length are learned from; the tables are bounded (``max_words`` and ``max_grams`` a language), so the model that goes to the
 executors has a fixed size. Prediction is a narrow pass over the texts with a bounded cache of words.
 
 Defined cases: null text and texts without a letter are ``und`` with score 0, and so is everything if
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 ORDERS = (5, 4, 3, 2, 1)
 CACHE = 400_000
+SPREAD = 1 << 52
 
 
 def plain(word: str) -> str:
@@ -66,7 +68,7 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def _count(max_chars: int = 40):
+def _count():
     """(lang, kind, item, count) of a partition: words, and n-grams of words; counts of words weigh them."""
 
     def run(batches):
@@ -77,7 +79,7 @@ def _count(max_chars: int = 40):
         for lang, raw in words.items():
             own, parts = Counter(), Counter()
             for w, c in raw.items():
-                if (p := plain(w)) and len(p) <= max_chars:
+                if p := plain(w):
                     own[p] += c
             for w, c in own.items():
                 for n in ORDERS:
@@ -95,15 +97,15 @@ def _count(max_chars: int = 40):
 def fit(labelled: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, max_grams: int = 60_000) -> Model:
     """A model from rows (text, lang), both not null."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    n = rows.count()
-    if not n:
-        return Model([], {}, {}, np.zeros((0, 0)))
-    if n > sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(float(sample_docs * SPREAD)) / F.col("n")
+    rows = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(SPREAD)) < share).select("text", "lang")
     counts = rows.mapInArrow(_count(), "lang string, kind string, item string, c bigint").groupBy("lang", "kind", "item").agg(F.sum("c").alias("c")).where("c > 1 or kind = 'g'")
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "item"))
     top = counts.withColumn("p", place).where(F.col("p") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).drop("p")
     got = top.collect()  # bounded by the languages and the two limits
+    if not got:
+        return Model([], {}, {}, np.zeros((0, 0)))
     langs = sorted({r["lang"] for r in got})
     at = {x: i for i, x in enumerate(langs)}
     tables, rows = {"w": {}, "g": {}}, [np.zeros((0, len(langs)), np.float32)]
