@@ -45,7 +45,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining texts as token pieces packed into sequences of 1024."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, plain=False)
 
 
 STAGES = [

@@ -95,7 +95,7 @@ def places(makes: list[tuple[list[int], int]]) -> list[dict]:
     return out
 
 
-def cut_documents(path: str, capacity: int, end_id: int):
+def cut_documents(path: str, capacity: int, end_id: int, plain: bool = True):
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches):
@@ -103,7 +103,7 @@ def cut_documents(path: str, capacity: int, end_id: int):
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 rows: list[tuple] = []
-                ids = pieces(path).encode([t or "" for t in batch.column("text").to_pylist()])
+                ids = pieces(path, plain).encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc, x in zip(batch.column("doc_id").to_pylist(), ids):
                     x += tail
                     n = len(x) // 4
@@ -117,11 +117,15 @@ def cut_documents(path: str, capacity: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, plain: bool = True) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``plain``: a special token written out in a text is ordinary text; else it is the token, as by the
+    library's default (the registered queries).
+    """
     spark = docs.sparkSession
     rows = stash(
-        docs.select("doc_id", "text").mapInArrow(cut_documents(tokenizer, capacity, end_id), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"),
+        docs.select("doc_id", "text").mapInArrow(cut_documents(tokenizer, capacity, end_id, plain), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"),
         "pack-pieces",
     ).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BLOCKS)).cast("int"))
     counts = rows.groupBy("length", "block").agg(F.count("*").alias("n"))  # capacity * RANK_BLOCKS rows at most

@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer starts a new token at every blank that stands before a visible
 character, so a text may be cut there and the cuts encoded apart. Most cuts recur; they are encoded
-once and kept. Longer runs of white space are never cut.
+once and kept. Longer runs of white space are never cut, nor are texts in which a special token is
+written out: the library tells there what is a special token and what isn't.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 CACHE = 700_000
 LONGEST = 64
 _AT_BLANK = re.compile(r" (?=\S)")
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[tuple[str, bool], Pieces] = {}
 
 
 class _Cache(dict):
@@ -37,12 +38,16 @@ class _Cache(dict):
 
 
 class Pieces:
-    def __init__(self, path: str):
+    """``plain``: special tokens written in a text are ordinary characters; else as the library has them."""
+
+    def __init__(self, path: str, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.default = None if plain else Tokenizer.from_file(path)
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True  # the byte-level sign of a blank
@@ -70,6 +75,9 @@ class Pieces:
         known, found, odd = self.known, [], set()
         known.fresh = []
         for i, t in enumerate(texts):
+            if any(x in t for x in self.special):
+                found.append([np.array(self.default.encode(t, add_special_tokens=False).ids, "<u4").tobytes()])
+                continue
             head, *rest = t.split(" ")
             if head not in self.first:
                 self.first[head] = self.ids(head).tobytes()
@@ -95,8 +103,8 @@ class Pieces:
         return b"".join(out)
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, plain: bool = True) -> Pieces:
     """The vocabulary of ``path``, loaded once in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = Pieces(path, plain)
+    return _loaded[path, plain]
