@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges (a, b)`` -> ``(node, component)`` for every node of an edge; component = least node reachable.
 
     Each round hangs every node's larger neighbours under its least neighbour, then its smaller ones;
-    the edge list never grows, and paths shrink by a constant factor. Edges of a round are written to
+    the edge list never grows, and paths shrink by a constant factor. Rounds go on until nothing changes. Edges of a round are written to
     the shared folder, so lineage stays short; nothing but two sums reaches the driver.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
