@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,33 +19,88 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and all run on this machine (tests)."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="jsonweave-")
         spark.sparkContext.setCheckpointDir(got)
     return got
 
 
-def stash(df: DataFrame, name: str, shelf: list[str] | None = None) -> DataFrame:
+class Shelf(list):
+    """Paths of tables that are deleted at the end of a ``with`` block, whether or not it succeeds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def stash(df: DataFrame, name: str, shelf: list[str] | None = None, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost
-    executor costs a re-read only. Paths of tables that their maker can drop later go to ``shelf``."""
+    executor costs a re-read only. Paths of tables that their maker can drop earlier go to ``shelf``; all
+    go when the session's JVM ends. ``batch``: rows of an Arrow batch while it is made, for rows with long values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if shelf is not None:
         shelf.append(path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch:
+        spark.conf.set(setting, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, shelf: list[str]) -> None:
     """Delete the tables on a shelf, which nothing reads any more, and free finished shuffles."""
     while shelf:
-        path = spark._jvm.org.apache.hadoop.fs.Path(shelf.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, shelf.pop())
     release(spark)
 
 
+MARK_BITS = 23
+
+
+def marks(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """A bitmap of 2**23 hash places as rows (``_at``, ``_bits``), 131,072 rows at most whatever the input, for :func:`marked`."""
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - MARK_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.select(F.shiftright(place, 6).alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def marked(docs: DataFrame, bitmap: DataFrame, column: str = "doc_id", hit: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose id may be among those of the bitmap (``hit``), or surely isn't. Texts of the
+    others stay where they are; where ids fill the bitmap, the join that follows alone decides."""
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - MARK_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = docs.withColumn("_place", F.shiftright(place, 6)).join(F.broadcast(bitmap), F.col("_place") == F.col("_at"), "left")
+    there = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return found.where(there if hit else ~there).drop("_place", "_at", "_bits")
+
+
 def text_of(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

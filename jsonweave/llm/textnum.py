@@ -1,6 +1,6 @@
 """Words of whole text columns as NumPy arrays: boundaries and 64-bit hashes, many documents at a time.
 
-A column's bytes are taken in slices of about a megabyte (or one document, if longer), so memory is
+A column's bytes are taken in slices of about a quarter of a megabyte (or one document, if longer), so memory is
 bounded by the longest document. A word's hash is a polynomial over its bytes modulo 2**64 (its
 byte values taken from a random table), read off prefix sums; both are seeded by constants.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=U)

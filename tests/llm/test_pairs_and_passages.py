@@ -59,6 +59,27 @@ def test_chain_and_families(spark):
     assert len(set(want.values())) == 2
 
 
+def test_signatures_bound_the_difference(spark):
+    import numpy as np
+
+    from jsonweave.llm.ngram_join import FOLD, _differ, folded, needed_overlap, reaches, signature
+
+    r, rows = np.random.default_rng(4), []
+    for _ in range(150):
+        n = int(r.integers(1, 700))
+        s = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        t = np.unique(np.concatenate((s[: int(r.integers(0, n + 1))], r.integers(0, 2**64, int(r.integers(1, max(2, n))), dtype=np.uint64))))
+        share = len(np.intersect1d(s, t))
+        fold = int(np.bitwise_count((folded(signature(s)) ^ folded(signature(t))).view(np.uint64)).sum())
+        assert fold <= len(s) + len(t) - 2 * share and len(signature(s)) * 64 >= FOLD
+        if 2 * min(len(s), len(t)) > max(len(s), len(t)):
+            rows.append((signature(s).tolist(), signature(t).tolist(), len(s) + len(t) - 2 * share))
+        for need in (1, share, share + 1, needed_overlap(len(s), len(t), 75)):
+            assert reaches(s, t, need, 64) == (share >= need)
+    got = spark.createDataFrame(rows, "sign_a array<bigint>, sign_b array<bigint>, d int").select(_differ("sign_a", "sign_b").alias("x"), "d").collect()
+    assert all(g["x"] <= g["d"] for g in got) and sum(g["x"] > 0.5 * g["d"] for g in got) > 0.7 * len(got)
+
+
 def brute_removal(rows, width=13):
     first, words = {}, []
     for i, t in rows:
