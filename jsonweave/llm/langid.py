@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,20 +50,37 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Words and n-grams by row of ``rows``: log frequencies in each language, less their mean."""
+    """Words and n-grams by row of ``rows``: log frequencies in each language, less their mean.
+
+    ``items`` has both kinds as one text, an item a line, words first: so a model is small wherever it is
+    kept, and the tables are made where they are asked."""
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
+    n_words: int
+    items: str
     rows: np.ndarray
 
+    def __post_init__(self):
+        self._tables = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": None}
+
+    def tables(self) -> tuple[dict[str, int], dict[str, int]]:
+        if self._tables is None:
+            items = self.items.split("\n") if self.items else []
+            words = {x: i for i, x in enumerate(items[: self.n_words])}
+            self._tables = words, {x: i for i, x in enumerate(items[self.n_words :], self.n_words)}
+        return self._tables
+
     def vector(self, word: str) -> np.ndarray:
         """A plain word's scores in each language."""
-        got = self.words.get(word)
+        words, parts = self.tables()
+        got = words.get(word)
         if got is not None:
             return self.rows[got]
         for n in ORDERS:
-            known = [i for g in grams(word, n) if (i := self.grams.get(g)) is not None]
+            known = [i for g in grams(word, n) if (i := parts.get(g)) is not None]
             if known:
                 return self.rows[known].mean(axis=0)
         return np.zeros(len(self.langs))
@@ -103,58 +121,71 @@ def fit(labelled: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, m
     counts = rows.mapInArrow(_count(), "lang string, kind string, item string, c bigint").groupBy("lang", "kind", "item").agg(F.sum("c").alias("c")).where("c > 1 or kind = 'g'")
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "item"))
     top = counts.withColumn("p", place).where(F.col("p") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).drop("p")
-    got = top.collect()  # bounded by the languages and the two limits
-    if not got:
-        return Model([], {}, {}, np.zeros((0, 0)))
-    langs = sorted({r["lang"] for r in got})
-    at = {x: i for i, x in enumerate(langs)}
-    tables, rows = {"w": {}, "g": {}}, [np.zeros((0, len(langs)), np.float32)]
-    for kind, table in tables.items():
-        items = sorted({r["item"] for r in got if r["kind"] == kind})
-        first = sum(map(len, rows))
-        table.update((x, i) for i, x in enumerate(items))
-        counts = np.full((len(items), len(langs)), 0.5)
-        for r in got:
-            if r["kind"] == kind:
-                counts[table[r["item"]], at[r["lang"]]] += r["c"]
-        if items:
-            logs = np.log(counts / counts.sum(axis=0))
-            rows.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
-        tables[kind] = {x: i + first for x, i in table.items()}
-    return Model(langs, tables["w"], tables["g"], np.concatenate(rows))
+    got = top.toArrow()  # bounded by the languages and the two limits; columns, not a Row object for each item
+    langs = sorted(set(got.column("lang").to_pylist()))
+    if not langs:
+        return Model([], 0, "", np.zeros((0, 0), np.float32))
+    items, rows, n_words = [], [], 0
+    for kind in ("w", "g"):
+        part = got.filter(pc.equal(got.column("kind"), kind))
+        code = part.column("item").combine_chunks().dictionary_encode()
+        counts = np.full((len(code.dictionary), len(langs)), 0.5)
+        own = np.searchsorted(langs, part.column("lang").to_pylist())
+        counts[code.indices.to_numpy(), own] += part.column("c").to_numpy()
+        items += code.dictionary.to_pylist()
+        logs = np.log(counts / np.maximum(counts.sum(axis=0), 1.0))
+        rows.append((logs - logs.mean(axis=1, keepdims=True)).astype(np.float32))
+        n_words = len(items) if kind == "w" else n_words
+    return Model(langs, n_words, "\n".join(items), np.concatenate(rows))
+
+
+class Predictor:
+    """Predicts texts by a model; words are scored once and kept, ``CACHE`` of them at most."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, len(self.model.langs))), np.float32)
+        self.lettered = np.zeros(1024, bool)
+
+    def _learn(self, fresh: set[str]) -> None:
+        model, cache = self.model, self.cache
+        while len(cache) + len(fresh) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.lettered = np.concatenate((self.lettered, np.zeros_like(self.lettered)))
+        for w in fresh:
+            i = cache[w] = len(cache)
+            p = plain(w)
+            self.lettered[i] = bool(p)
+            self.rows[i] = model.vector(p) if p and model.langs else 0.0
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        words = text.split() if text else []
+        if not self.model.langs or not words:
+            return "und", 0.0
+        if len(self.cache) > CACHE:
+            self._clear()
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            self._learn({w for w, i in zip(words, ids) if i is None})
+            ids = list(map(self.cache.get, words))
+        if not self.lettered[ids].any():
+            return "und", 0.0
+        total = self.rows[ids].sum(axis=0, dtype=np.float64)
+        best = int(total.argmax())
+        return self.model.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
 def _predict(model: Model):
     def run(batches):
-        cache: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(model.langs))))
-        lettered = np.zeros(1024, bool)
+        say = Predictor(model)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                words = text.split() if text else []
-                if len(cache) > CACHE:
-                    cache = {}
-                ids = list(map(cache.get, words))
-                if None in ids:
-                    for w in {w for w, i in zip(words, ids) if i is None}:
-                        i = cache[w] = len(cache)
-                        if i >= len(rows):
-                            rows = np.concatenate((rows, np.zeros_like(rows)))
-                            lettered = np.concatenate((lettered, np.zeros_like(lettered)))
-                        p = plain(w)
-                        lettered[i] = bool(p)
-                        rows[i] = model.vector(p) if p and model.langs else 0.0
-                    ids = list(map(cache.get, words))
-                if not model.langs or not ids or not lettered[ids].any():
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total = rows[ids].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(model.langs[best])
-                scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()))
-            yield pa.record_batch([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            langs, scores = zip(*map(say, batch.column("text").to_pylist())) if batch.num_rows else ((), ())
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return run
 
@@ -179,15 +210,17 @@ def language_report(docs: DataFrame, **limits) -> DataFrame:
 
 
 def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFrame:
-    """The rows of ``docs`` whose language is told with ``min_score`` or more; their columns."""
+    """The rows of ``docs`` whose language is told with ``min_score`` or more; their columns, whatever their names.
+
+    Null texts and texts without a letter go, and all rows if none can be learned from; rows are judged
+    one by one, so repeated ones fare alike; an empty table stays empty."""
     model = fit(docs.where(~held_out()), **limits)
 
     def run(batches):
-        import pyarrow.compute as pc
-
+        say = Predictor(model)
         for batch in batches:
-            got = next(predicted(iter([pa.record_batch([batch.column("text")], ["text"])])))
-            yield batch.filter(pc.greater_equal(got.column("score"), min_score))
+            kept = [score >= min_score for _, score in map(say, batch.column("row").field("text").to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    predicted = _predict(model)
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
