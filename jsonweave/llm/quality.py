@@ -5,8 +5,8 @@ no shuffle, no Python, no state. Work per document is O(n log n) in its words.
 
 Defined cases: null, empty and blank texts have no words and fail the base rule; repeated rows are
 judged one by one; an empty table gives an empty table; further columns of the input are carried
-by :func:`quality_filter` (names that clash with the measures are not touched, since measures live
-under a private prefix until the end).
+by :func:`quality_filter` as one struct, so no name of theirs clashes with the measures. Repeated windows
+are found by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -141,5 +141,6 @@ def quality_report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that all rules keep, with the columns of ``docs``."""
-    return measures(docs).where(verdict(rules)).select(*docs.columns)
+    """The rows of ``docs`` that all rules keep, with the columns of ``docs``, whatever their names."""
+    got = measures(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")))
+    return got.where(verdict(rules)).select("row.*")

@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, release, shuffle_partitions, stash
 from .ngram_join import BLOCKS, BUCKET_BITS, _bucket
@@ -359,24 +360,25 @@ def substring_report(docs: DataFrame, width: int = 13) -> DataFrame:
     )
 
 
-def _classes(column: int):
-    def run(batches):
-        for batch in batches:
-            cls = [xxhash.xxh3_128_digest(b" ".join(t.encode().split()) if t else b"") for t in batch.column(column).to_pylist()]
-            o = [NONE if x is None else x for x in batch.column("doc_id").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(o, pa.int64()), pa.array(cls, pa.binary())], [*batch.schema.names, "_o", "_cls"])
-
-    return run
+def _classes(batches):
+    """(row, o, cls) of rows as structs."""
+    for batch in batches:
+        rows = batch.column("row")
+        cls = [xxhash.xxh3_128_digest(b" ".join(t.encode().split()) if t else b"") for t in rows.field("text").to_pylist()]
+        o = [NONE if x is None else x for x in rows.field("doc_id").to_pylist()]
+        yield pa.record_batch([rows, pa.array(o, pa.int64()), pa.array(cls, pa.binary())], ["row", "o", "cls"])
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """``docs`` with recurring passages taken out of the texts; rows of which nothing is left go."""
+    """``docs`` with recurring passages taken out of the texts; rows of which nothing is left go. All columns are
+    carried, whatever their names; ``n_chars``, if there, is counted anew."""
     own, lost = repeated_words(docs, width)
     lost = lost.select("o", "cls", "cleaned").dropDuplicates(["o", "cls"])
     state = own.groupBy("o", "cls").agg(F.max((F.col("o") > F.col("rep")) & (F.col("n_words") >= width)).alias("copy"))
-    state = state.where("not copy").join(lost, ["o", "cls"], "left").select(F.col("o").alias("_o"), F.col("cls").alias("_cls"), F.col("cleaned").alias("_cleaned"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = docs.mapInArrow(_classes(docs.columns.index("text")), f"{fields}, _o bigint, _cls binary").join(state, ["_o", "_cls"])
-    text = F.coalesce("_cleaned", "text")
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.where((text != "") | F.col("text").isNull() | (F.col("text") == "")).select(*columns)
+    state = state.where("not copy").join(lost, ["o", "cls"], "left").select("o", "cls", "cleaned")
+    kinds = T.StructType([T.StructField("row", docs.schema, False), T.StructField("o", T.LongType()), T.StructField("cls", T.BinaryType())])
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(_classes, kinds).join(state, ["o", "cls"])
+    was = F.col("row").getField("text")
+    text = F.coalesce("cleaned", was)
+    columns = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return rows.where((text != "") | was.isNull() | (was == "")).select(*(columns.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
