@@ -1,18 +1,21 @@
 """A corpus pipeline over ``documents``: five stages, each one operator on all that its predecessor kept.
 
 Stages are written as Parquet to the session's shared folder and read again, so a lost executor costs a
-stage's tasks only. All but the last stage return the columns of ``documents``.
+stage's tasks only. All but the last stage return the columns of ``documents``, and of any others that its
+input has, whatever their names.
+
+Defined cases, by stage: null and blank texts go at the first; repeated rows are judged alike by the first two, and
+one of them is left by the third; rows without a doc_id count as later than all others; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jsonweave.llm.common import release, stash, table
 from jsonweave.llm.langid import language_filter
-from jsonweave.llm.ngram_join import near_duplicates
+from jsonweave.llm.ngram_join import drop_near_duplicates
 from jsonweave.llm.packing import pack
 from jsonweave.llm.quality import quality_filter
 from jsonweave.llm.substring import remove_repeats
@@ -28,14 +31,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_filter(docs)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays, in one row.
-
-    Rows without a doc_id are linked with nothing and stay.
-    """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.where("doc_id is not null").join(first, "doc_id").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def near_duplicates_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the least doc_id stays (nulls last; of equal ids the one read
+    first). Rows are judged as rows: different texts under one doc_id stay both."""
+    return drop_near_duplicates(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("quality_rules", apply_quality_rules),
-    ("ngram_jaccard_join", drop_near_duplicates),
+    ("ngram_jaccard_join", near_duplicates_once),
     ("substring_dedup", remove_repeated_passages),
     ("best_fit_packing", pack_sequences),
 ]
