@@ -4,24 +4,24 @@ located in every text.
 A window is ``width`` consecutive words. A word goes if a window covers it whose words also start in a
 document with a smaller doc_id, judged on the input. Steps:
 
-1. Documents of equal word sequences are one class; its least doc_id stands for it. In the others every
-   window recurs, so nothing more is needed to know of them.
+1. Documents of equal word sequences are one class (by a 128-bit digest); its least doc_id stands for it. In
+   the others every window recurs, so nothing more is needed to know of them.
 2. *Anchors.* In every window, the 6-word gram of least hash is its anchor: equal windows have equal
    anchors, and an anchor serves some four windows. Anchors are dealt out by hash and read as a
    stream; those that come twice or more are kept. (About a fifth of the words' number is shuffled.)
-3. *Segments.* The words around a kept anchor, as far as its windows reach, are cut from the texts.
-   Equal segments of a task are summed to one with the least and greatest doc_id before they move.
-4. *Automata.* Segments of one anchor meet in one shard, some thousands to a shard. Windows of two
+3. *Streams.* All of a text that can recur, the words around a kept anchor as far as its windows reach, goes on
+   as segments. Equal segments of a task are summed to one with the least and greatest doc_id before they move.
+4. *Automata.* Segments of one anchor meet in one shard, some thousand to a shard. Windows of two
    documents or more are confirmed there word by word, with their least doc_id, and become the phrases
-   of an Aho-Corasick automaton over the shard's words; the shard's segments stream through it, which
-   tells each window's first document. A phrase has all its occurrences in its shard, so the number
-   of shards grows with the corpus and the work for a text does not.
-5. *Removal.* What was found goes back to the occurrences of each segment, and to the texts.
+   of an Aho-Corasick automaton over the shard's words; the shard's segments stream through it, and its matches
+   tell each window's first document. A phrase has all its occurrences in its shard, so the number
+   of shards grows with the corpus and the work for a text does not: a whole text would have to pass every shard.
+5. *Removal.* What was found goes back to the occurrences of each segment (by its two 64-bit hashes, anchor and
+   text), and to the texts.
 
 Anchors in crowded hash buckets (2**18 counters over all documents; 16 times the mean, or more than a
-task should hold) are kept without being counted, over 16 blocks; there each window is a segment of its
-own, so no anchor gathers an unbounded group.
-Hashes select only; what is removed was compared word by word.
+task should hold) are kept without being counted, so they are dealt out by anything; each of their windows is a
+segment of its own, dealt out by its own hash, so no anchor gathers an unbounded group.
 
 Defined cases: null and empty texts have no words and stay as they are; rows of one doc_id don't remove
 words from each other; a null doc_id counts as greater than any other; repeated rows are treated
@@ -39,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, release, shuffle_partitions, stash
-from .ngram_join import BLOCKS, BUCKET_BITS, _bucket
+from .common import Shelf, marked, marks, release, shuffle_partitions, stash
+from .ngram_join import BUCKET_BITS, _bucket
 from .textnum import U, Words, column_words, mix
 
 GRAM = 6
-HELD = 500_000
-SHARD = 3000
+HELD = 50_000
+SHARD = 1000
+#: Rows of an Arrow batch, of whole texts and of texts with what was found in them.
+ROWS, FOUND_ROWS = 2500, 500
 NONE = 2**63 - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -104,7 +106,7 @@ def _crowding(width: int):
 
 
 def _anchor_rows(width: int, levels: np.ndarray):
-    """(h, o, word): crowded anchors carry a block number in h."""
+    """(h, o, word): crowded anchors have any h and a negative word, -1 - word."""
 
     def run(batches):
         for batch in batches:
@@ -114,32 +116,29 @@ def _anchor_rows(width: int, levels: np.ndarray):
                 if not len(doc):
                     continue
                 o = order[w.first + doc]
-                h = h & ~U(BLOCKS - 1)
-                h = np.where(levels[_bucket(h)] > 0, h | (mix(o.astype(U)) & U(BLOCKS - 1)), h)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(o), pa.array(at - w.cut[doc])], ["h", "o", "word"])
+                crowded, word = levels[_bucket(h)] > 0, at - w.cut[doc]
+                h = np.where(crowded, mix(h + mix(o.astype(U) + U(64) * word.astype(U))), h)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(o), pa.array(np.where(crowded, -1 - word, word))], ["h", "o", "word"])
 
     return run
 
 
-def _recurring(levels: np.ndarray):
+def _recurring(batches):
     """From rows in order of h: (o, word) of anchors that come twice or more, or are crowded."""
-
-    def run(batches):
-        last_h, waiting = None, None
-        for batch in batches:
-            h, o, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(h):
-                continue
-            same = h[1:] == h[:-1]
-            keep = np.concatenate(([last_h is not None and h[0] == last_h], same)) | np.concatenate((same, [False])) | (levels[_bucket(h.view(U))] > 0)
-            out = [(o[keep], word[keep])]
-            if waiting is not None and h[0] == last_h:
-                out.append(waiting)
-            waiting = None if keep[-1] else (o[-1:], word[-1:])
-            last_h = h[-1]
-            yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["o", "word"])
-
-    return run
+    last_h, waiting = None, None
+    for batch in batches:
+        h, o, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(h):
+            continue
+        crowded = word < 0
+        same = h[1:] == h[:-1]
+        keep = np.concatenate(([last_h is not None and h[0] == last_h], same)) | np.concatenate((same, [False])) | crowded
+        out = [(o[keep], np.where(crowded, -1 - word, word)[keep])]
+        if waiting is not None and h[0] == last_h:
+            out.append(waiting)
+        waiting = None if keep[-1] else (o[-1:], word[-1:])
+        last_h = h[-1]
+        yield pa.record_batch([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["o", "word"])
 
 
 def _cut(batches, width: int, levels: np.ndarray):
@@ -151,7 +150,7 @@ def _cut(batches, width: int, levels: np.ndarray):
             rows: list[tuple] = []
             _, at, lo, hi, h = found = anchors(w, width)
             cuts = np.searchsorted(found[0], np.arange(len(w.cut)))
-            crowded = levels[_bucket(h & ~U(BLOCKS - 1))] > 0
+            crowded = levels[_bucket(h)] > 0
             for i in range(len(w.cut) - 1):
                 a, b, r = int(cuts[i]), int(cuts[i + 1]), w.first + i
                 if a == b or xxhash.xxh3_128_digest(b" ".join(raw[w.doc_at[i] : w.doc_at[i + 1]].split())) != cls[r].as_py():
@@ -173,7 +172,7 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, U).view(np.int64))
 
 
-def _segments(width: int, levels: np.ndarray, hold: int = 100_000):
+def _segments(width: int, levels: np.ndarray, hold: int = 25_000):
     """(a, seg, lo, hi): distinct segments with their least and greatest document, summed before they are shuffled."""
 
     def run(batches):
@@ -213,34 +212,50 @@ def _occurrences(width: int, levels: np.ndarray):
     return run
 
 
+#: Characters that may stand in a string, less one; with more words, phrases are sequences of numbers.
+SIGNS = 0x110000 - 0x800 - 1
+
+
 def _sign(i: int) -> str:
     """The i-th character that may stand in a string."""
     return chr(i if i < 0xD800 else i + 0x800)
 
 
-def locate(segments: list[tuple[bytes, int, int]], width: int) -> list[list[int] | None]:
-    """For each segment (words, least and greatest document), per window its first document, if it is of two or more."""
-    import ahocorasick
-
-    codes: dict[bytes, str] = {}
-    lines = ["".join([codes.setdefault(x, _sign(len(codes) + 1)) for x in seg.split(b" ")]) for seg, _, _ in segments]
-    seen: dict[str, tuple[int, int]] = {}
+def confirm(lines: list, segments: list[tuple[bytes, int, int]], width: int) -> dict:
+    """The windows of two documents or more among the lines of coded words, with the least."""
+    ends: dict = {}
     for line, (_, lo, hi) in zip(lines, segments):
         for i in range(len(line) - width + 1):
             x = line[i : i + width]
-            old = seen.get(x)
-            seen[x] = (lo, hi) if old is None else (min(lo, old[0]), max(hi, old[1]))
-    automaton = ahocorasick.Automaton()
-    for x, (lo, hi) in seen.items():
-        if lo < hi:
-            automaton.add_word(x, lo)
+            old = ends.get(x)
+            ends[x] = (lo, hi) if old is None else (min(lo, old[0]), max(hi, old[1]))
+    return {x: lo for x, (lo, hi) in ends.items() if lo < hi}
+
+
+def compile_phrases(phrases: dict, numbers: bool):
+    """The automaton of confirmed phrases; a match tells the phrase's first document. None if there is no phrase."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if numbers else ahocorasick.Automaton()
+    for x, lo in phrases.items():
+        automaton.add_word(x, lo)
     if not len(automaton):
-        return [None] * len(segments)
+        return None
     automaton.make_automaton()
-    out = []
+    return automaton
+
+
+def locate(segments: list[tuple[bytes, int, int]], width: int, signs: int = SIGNS) -> list[list[int] | None]:
+    """For each segment (words, least and greatest document), per window its first document, if it is of two or more."""
+    codes: dict[bytes, int] = {}
+    coded = [[codes.setdefault(x, len(codes) + 1) for x in seg.split(b" ")] for seg, _, _ in segments]
+    numbers = len(codes) >= signs
+    lines = [tuple(x) if numbers else "".join(map(_sign, x)) for x in coded]
+    automaton = compile_phrases(confirm(lines, segments, width), numbers)
+    out: list[list[int] | None] = []
     for line in lines:
         firsts = None
-        for end, lo in automaton.iter(line):
+        for end, lo in automaton.iter(line) if automaton else ():
             if firsts is None:
                 firsts = [NONE] * (len(line) - width + 1)
             firsts[end - width + 1] = lo
@@ -281,8 +296,11 @@ def _removals(width: int):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
-            order, cls, found = (batch.column(c).to_pylist() for c in ("o", "cls", "found"))
+            texts, found = batch.column("text"), batch.column("found")
+            order, cls = batch.column("o").to_numpy(), batch.column("cls").to_pylist()
+            upto, each = found.offsets.to_numpy(), found.values
+            start, firsts = each.field("start").to_numpy(), each.field("firsts")
+            cut, first = firsts.offsets.to_numpy(), firsts.values.to_numpy()
             rows = []
             for w in column_words(texts):
                 raw = w.data.tobytes()
@@ -291,19 +309,18 @@ def _removals(width: int):
                     begin, close = raw[w.doc_at[i] : w.doc_at[i + 1]], int(w.doc_at[i])
                     if xxhash.xxh3_128_digest(b" ".join(begin.split())) != cls[r]:
                         continue  # another text under the same doc_id
-                    steps = np.zeros(b - a + width + 1, np.int64)
-                    for x in found[r]:
-                        for k, f in enumerate(x["firsts"]):
-                            if f < order[r]:
-                                steps[x["start"] + k] += 1
-                                steps[x["start"] + k + width] -= 1
+                    s, e = upto[r], upto[r + 1]
+                    long = np.diff(cut[s : e + 1])
+                    at = np.repeat(start[s:e] - cut[s:e], long) + np.arange(cut[s], cut[e])
+                    at = at[first[cut[s] : cut[e]] < order[r]]
+                    steps = np.bincount(at, minlength=b - a + width + 1) - np.bincount(at + width, minlength=b - a + width + 1)
                     gone = np.cumsum(steps)[: b - a] > 0
-                    start, end = w.start[a:b] - close, w.end[a:b] - close
-                    kept = b" ".join([begin[s:e] for s, e in zip(start[~gone].tolist(), end[~gone].tolist())])
+                    first_at, end = w.start[a:b] - close, w.end[a:b] - close
+                    kept = b" ".join([begin[s:e] for s, e in zip(first_at[~gone].tolist(), end[~gone].tolist())])
                     # runs of kept words keep the white space between them; a removed run leaves what stood before it
                     edge = np.diff(np.concatenate(([True], gone, [True])).astype(np.int8))
-                    runs = [begin[s:e] for s, e in zip(start[np.flatnonzero(edge[:-1] == -1)].tolist(), end[np.flatnonzero(edge[1:] == 1)].tolist())]
-                    rows.append((order[r], cls[r], int(gone.sum()), hashlib.sha256(kept).hexdigest(), b"\n".join(runs).decode()))
+                    runs = [begin[s:e] for s, e in zip(first_at[np.flatnonzero(edge[:-1] == -1)].tolist(), end[np.flatnonzero(edge[1:] == 1)].tolist())]
+                    rows.append((int(order[r]), cls[r], int(gone.sum()), hashlib.sha256(kept).hexdigest(), b"\n".join(runs).decode()))
             if rows:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["o", "cls", "n_removed", "kept_sha256", "cleaned"])
@@ -316,35 +333,39 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     One row per (o, cls) that loses words though it is its class's first: n_removed, kept_sha256, cleaned."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts, shelf = 2 * shuffle_partitions(spark), []
-    own = stash(docs.mapInArrow(_summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own")
+    parts = 2 * shuffle_partitions(spark)
+    own = stash(docs.mapInArrow(_summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own", batch=ROWS)
     reps = own.groupBy("cls").agg(F.min("o").alias("rep"))
+    crowding = docs.mapInArrow(_crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in docs.mapInArrow(_crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # 2**18 rows at most
-        counts[r["bucket"]] = r["c"]
+    counts[crowding.column("bucket").to_numpy()] = crowding.column("c").to_numpy()
     levels = crowded_buckets(counts)
 
-    cells = docs.mapInArrow(_anchor_rows(width, levels), "h bigint, o bigint, word bigint").repartition(parts, "h").sortWithinPartitions("h")
-    kept = cells.mapInArrow(_recurring(levels), "o bigint, word bigint")
-    firsts = own.where(f"n_words >= {width}").select("o", "cls").distinct().join(reps, "cls").where("o = rep").select("o", "cls")
-    kept = stash(kept.groupBy("o").agg(F.collect_set("word").alias("words")).join(firsts, "o").withColumn("rid", F.monotonically_increasing_id()), "sub-anchors", shelf)
-    del cells
-    release(spark)
-
-    texts = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("o"), "text")
-    near = stash(texts.join(kept, "o").select("rid", "o", "cls", "text", "words"), "sub-texts", shelf)
-    release(spark)
-    segments = near.mapInArrow(_segments(width, levels), "a bigint, seg binary, lo bigint, hi bigint").repartition(parts, "a").sortWithinPartitions("a")
-    phrases = stash(segments.mapInArrow(_automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases", shelf)
-    del segments
-    release(spark)
-
-    hits = near.mapInArrow(_occurrences(width, levels), "a bigint, rid bigint, o bigint, start bigint, sh bigint").join(phrases, ["a", "sh"])
-    hits = hits.where(F.array_min("firsts") < F.col("o")).groupBy("rid").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))
-    lost = near.select("rid", "o", "cls", "text").join(hits, "rid").select("o", "cls", "text", "found").mapInArrow(_removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
-    lost = stash(lost.where("n_removed > 0"), "sub-lost")
-    del near, phrases, hits, kept
-    discard(spark, shelf)
+    with Shelf(spark) as shelf:
+        cells = docs.mapInArrow(_anchor_rows(width, levels), "h bigint, o bigint, word bigint").repartition(parts, "h").sortWithinPartitions("h")
+        kept = cells.mapInArrow(_recurring, "o bigint, word bigint")
+        firsts = own.where(f"n_words >= {width}").select("o", "cls").distinct().join(reps, "cls").where("o = rep").select("o", "cls")
+        kept = kept.groupBy("o").agg(F.collect_set("word").alias("words")).join(firsts, "o").withColumn("rid", F.monotonically_increasing_id())
+        kept = stash(kept, "sub-anchors", shelf, batch=ROWS)
+        del cells
+        release(spark)
+
+        texts = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("o"), "text")
+        near = stash(marked(texts, marks(kept, "o"), "o").join(kept, "o").select("rid", "o", "cls", "text", "words"), "sub-texts", shelf)
+        release(spark)
+        segments = near.mapInArrow(_segments(width, levels), "a bigint, seg binary, lo bigint, hi bigint").repartition(parts, "a").sortWithinPartitions("a")
+        phrases = stash(segments.mapInArrow(_automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases", shelf, batch=ROWS)
+        del segments
+        release(spark)
+
+        hits = near.mapInArrow(_occurrences(width, levels), "a bigint, rid bigint, o bigint, start bigint, sh bigint").join(phrases, ["a", "sh"])
+        hits = hits.where(F.array_min("firsts") < F.col("o")).groupBy("rid").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))
+        hits = stash(hits, "sub-hits", shelf)
+        release(spark)
+        lost = marked(near.select("rid", "o", "cls", "text"), marks(hits, "rid"), "rid").join(hits, "rid").select("o", "cls", "text", "found")
+        lost = lost.mapInArrow(_removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
+        lost = stash(lost.where("n_removed > 0"), "sub-lost", batch=FOUND_ROWS)
+        del near, phrases, hits, kept
     return own.join(reps, "cls"), lost
 
 

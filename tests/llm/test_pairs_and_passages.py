@@ -120,6 +120,21 @@ def test_locate():
     got = locate([(a, 1, 1), (b, 2, 2)], 4)
     assert got == [[2**63 - 1, 1], [2**63 - 1, 1]]
     assert locate([(a, 1, 1)], 4) == [None]
+    assert locate([(a, 1, 1), (b, 2, 2)], 4, signs=3) == got  # more words than signs: phrases are sequences of numbers
+
+
+def test_nothing_but_copies_goes_without_the_automaton():
+    from jsonweave.llm import substring
+
+    segments = [(b"p q r s t", 1, 1), (b"z q r s t", 2, 2)]
+    phrases = substring.confirm(["abcde", "fbcde"], segments, 4)
+    assert phrases == {"bcde": 1}
+    assert [x for _, x in substring.compile_phrases(phrases, False).iter("xbcdebcde")] == [1, 1]
+    full, substring.compile_phrases = substring.compile_phrases, lambda phrases, numbers: None
+    try:
+        assert locate(segments, 4) == [None, None]
+    finally:
+        substring.compile_phrases = full
 
 
 def test_empty(none):
