@@ -3,6 +3,9 @@
 Logic is two-valued: a comparison with a missing or null side is false, but ``==`` and ``!=`` are
 null-safe (``x == null`` holds for missing x, and missing x ``!= 5``). Lowest to highest: ``||``, ``&&``,
 ``~``, comparisons. New comparisons are added by :func:`register_operator`.
+
+Sides of different types never fail: a text counts as a number beside one where it reads as one, else the two
+are unequal and no order holds; a boolean beside a text counts as its word; a boolean and a number are unequal.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ class FilterError(ValueError):
 
 @dataclass(frozen=True)
 class Attribute:
-    name: str
+    """``keys`` lead from the object at hand to the value; none is the object itself."""
+
+    keys: tuple[str, ...]
 
 
 @dataclass(frozen=True)
@@ -145,8 +150,8 @@ class _Parser:
     def term(self):
         kind, value = self.take()
         if kind == "attribute":
-            keys = re.findall(r"\.([^.\[]+)|\[\s*[\"']([^\"']*)[\"']\s*\]", value)
-            return Attribute(".".join(a or b for a, b in keys))
+            keys = re.findall(r"\.([^.\[]+)|\[\s*(?:\"([^\"]*)\"|'([^']*)')\s*\]", value)
+            return Attribute(tuple(a or b or c for a, b, c in keys))
         if kind == "string":
             return Literal(re.sub(r"\\(.)", r"\1", value[1:-1]))
         if kind == "number":
@@ -168,36 +173,93 @@ def parse_filter(text: str):
     return _Parser(text).whole()
 
 
-def attributes(ast) -> list[str]:
-    """Names of the attributes in a filter, in order of appearance."""
+def attributes(ast) -> list[tuple[str, ...]]:
+    """Keys of the attributes in a filter, in order of appearance."""
     if isinstance(ast, Attribute):
-        return [ast.name]
+        return [ast.keys]
     parts = ast.parts if isinstance(ast, Logic) else (ast.left, ast.right) if isinstance(ast, Compare) else ()
     return list(dict.fromkeys(x for p in parts for x in attributes(p)))
 
 
+def against_literals(ast) -> bool:
+    """Whether no attribute is compared with another, so that attributes may be read as texts."""
+    if isinstance(ast, Logic):
+        return all(map(against_literals, ast.parts))
+    return isinstance(ast.right, Literal) and isinstance(ast.left, Attribute) and bool(ast.left.keys)
+
+
+NATIVE = frozenset(OPERATORS) - {"geometrywithin"}
+
+
+def native(ast) -> bool:
+    """Whether a filter has only built-in comparisons that need no user function."""
+    if isinstance(ast, Logic):
+        return all(map(native, ast.parts))
+    return not isinstance(ast, Compare) or ast.operator in NATIVE
+
+
+NUMBER, TEXT, TRUTH = "number", "text", "truth"
+
+
+def _class(kind: T.DataType | None, value) -> str | None:
+    if isinstance(value, bool) or isinstance(kind, T.BooleanType):
+        return TRUTH
+    if isinstance(value, (int, float)) or isinstance(kind, T.NumericType):
+        return NUMBER
+    return TEXT if isinstance(value, str) or isinstance(kind, T.StringType) else None
+
+
+def _as_number(text: Column, whole: bool) -> Column:
+    return text.try_cast("bigint" if whole else "double")
+
+
+def _by_number(operator: str, text: Column, number: Column, whole: bool, swap: bool) -> Column:
+    """A text beside a number; ``whole``: the number is a whole one, and so exact beyond 2**53."""
+
+    def told(x: Column) -> Column:
+        return OPERATORS[operator](*((number, x) if swap else (x, number)), None)
+
+    as_double = _as_number(text, False)
+    got = told(as_double)
+    if whole:
+        as_whole = _as_number(text, True)
+        # a cast of 7.5 to a whole number is 7: it counts only where nothing is cut off
+        exact = as_whole.isNotNull() & F.coalesce(as_whole.cast("double") == as_double, F.lit(False))
+        got = F.when(exact, told(as_whole)).otherwise(told(as_double))
+    other = F.lit(operator == "!=")
+    return F.when(text.isNotNull() & as_double.isNull(), other).otherwise(got)
+
+
 def _compare(operator: str, left: Column, right: Column, value, kinds: tuple) -> Column:
-    """One comparison. A text column (a key whose values are of several types) never fails to cast: it is compared
-    with numbers where it reads as one, and with booleans as text."""
+    """One comparison of sides of any types (see the top)."""
     f, (a, b) = OPERATORS[operator], kinds
-    if operator == "in" and isinstance(value, tuple) and isinstance(a, T.StringType) and not all(isinstance(v, str) for v in value):
-        return reduce(lambda x, y: x | y, (_compare("==", left, F.lit(v), v, kinds) for v in value if v is not None), F.lit(False))
+    if operator == "in":
+        if isinstance(value, tuple):
+            return reduce(lambda x, y: x | y, (_compare("==", left, F.lit(v), v, kinds) for v in value if v is not None), F.lit(False))
+        return f(left, right, value) if isinstance(b, T.ArrayType) and _class(a, None) == _class(b.elementType, None) else F.lit(False)
     if operator not in ("==", "!=", "<", "<=", ">", ">="):
         return f(left, right, value)
-    if isinstance(a, T.StringType) and isinstance(value, bool):
-        return f(left, F.lit(str(value).lower()), str(value).lower())
-    if isinstance(a, T.StringType) and isinstance(value, int):
-        whole = left.try_cast("bigint")
-        return F.when(whole.isNotNull(), f(whole, right, value)).otherwise(f(left.try_cast("double"), right, value))
-    if isinstance(a, T.StringType) and (isinstance(value, float) or isinstance(b, T.NumericType)):
-        return f(left.try_cast("double"), right, value)
-    if isinstance(b, T.StringType) and isinstance(a, T.NumericType):
-        return f(left, right.try_cast("double"), value)
+    x, y = _class(a, None), _class(b, value)
+    if NUMBER in (x, y) and TEXT in (x, y):
+        text, number, kind = (left, right, b) if x == TEXT else (right, left, a)
+        whole = isinstance(value, int) or isinstance(kind, T.LongType)
+        return _by_number(operator, text, number, whole, x == NUMBER)
+    if TRUTH in (x, y) and TEXT in (x, y):
+        return f(left.cast("string"), right.cast("string"), value) if operator in ("==", "!=") else F.lit(False)
+    if TRUTH in (x, y) and NUMBER in (x, y):
+        both = left.isNull() & right.isNull()
+        return {"==": both, "!=": ~both}.get(operator, F.lit(False))
+    if x == y == TEXT and operator not in ("==", "!="):
+        p, q = left.try_cast("double"), right.try_cast("double")
+        mixed = (p.isNull() & left.isNotNull()) != (q.isNull() & right.isNotNull())
+        return F.when(mixed, F.lit(False)).when(p.isNotNull() & q.isNotNull(), f(p, q, value)).otherwise(f(left, right, value)) if value is not None else f(left, right, value)
+    if x == NUMBER and isinstance(value, float):
+        return f(left.cast("double"), right, value)
     return f(left, right, value)
 
 
-def to_column(ast, resolve: Callable[[str], Column], kind_of: Callable[[str], T.DataType | None] = lambda name: None) -> Column:
-    """A boolean column, never null; ``resolve`` gives the column of an attribute (null if there is none), ``kind_of`` its type."""
+def to_column(ast, resolve: Callable[[tuple], Column], kind_of: Callable[[tuple], T.DataType | None] = lambda keys: None) -> Column:
+    """A boolean column, never null; ``resolve`` gives the column of an attribute's keys (null if there is none), ``kind_of`` its type."""
     if isinstance(ast, Logic):
         parts = [to_column(p, resolve, kind_of) for p in ast.parts]
         if ast.operator == "~":
@@ -206,15 +268,13 @@ def to_column(ast, resolve: Callable[[str], Column], kind_of: Callable[[str], T.
 
     def side(x, array: bool = False) -> tuple[Column, T.DataType | None]:
         if isinstance(x, Attribute):
-            c, kind = resolve(x.name), kind_of(x.name)
+            c, kind = resolve(x.keys), kind_of(x.keys)
             if isinstance(kind, T.StructType) or (isinstance(kind, T.ArrayType) and not array):
                 return F.to_json(c), T.StringType()
             return c, kind
-        return (F.lit(None) if x.value is None or isinstance(x.value, tuple) else F.lit(x.value)), None
+        kind = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}.get(type(x.value))
+        return (F.lit(None) if x.value is None or isinstance(x.value, tuple) else F.lit(x.value)), kind
 
     value = ast.right.value if isinstance(ast.right, Literal) else None
     (left, a), (right, b) = side(ast.left), side(ast.right, ast.operator == "in")
-    if ast.operator in ("<", "<=", ">", ">=") and isinstance(value, float):
-        left = left.try_cast("double")
-        a = None
     return _compare(ast.operator, left, right, value, (a, b))

@@ -27,18 +27,18 @@ def _filter(node: Node, value: Column, kind: T.DataType | None) -> Column | None
     out = None
     for text in node.filters:
 
-        def resolve(name: str) -> Column:
+        def resolve(keys: tuple[str, ...]) -> Column:
             column, own = value, kind
-            for k in name.split(".") if name else ():
+            for k in keys:
                 own = _field(own, k)
                 if own is None:
                     return F.lit(None)
                 column = column.getField(k)
             return column
 
-        def kind_of(name: str) -> T.DataType | None:
+        def kind_of(keys: tuple[str, ...]) -> T.DataType | None:
             own = kind
-            for k in name.split(".") if name else ():
+            for k in keys:
                 own = _field(own, k)
             return own
 

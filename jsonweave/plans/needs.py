@@ -31,9 +31,9 @@ class Need:
 
     def filtered(self, node: Node) -> Need:
         for text in node.filters:
-            for name in attributes(parse_filter(text)):
+            for keys in attributes(parse_filter(text)):
                 at = self
-                for k in name.split(".") if name else ():
+                for k in keys:
                     at = at.key(k)
                 at.leaf = True
         return self

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.predicates import against_literals, attributes, native, parse_filter, to_column
 from ..plans import lattice, needs
 from ..plans.compiler import VALUE, expand, matches
 from ..plans.compiler import _filter as filters
@@ -51,53 +53,74 @@ def _prefix(query: Query) -> tuple[list[str], bool, list[Node]]:
     return [], False, query.chain
 
 
-def _whole_files(spark: SparkSession, path, o: ReadOptions) -> DataFrame:
+STEP = 1 << 20
+
+
+def _roots(text: str):
+    """The root values of a document."""
+    at, decoder = 0, json.JSONDecoder(strict=False)
+    while at < len(text):
+        while at < len(text) and text[at].isspace():
+            at += 1
+        if at == len(text):
+            break
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except ValueError:
+            end = len(text)
+        yield text[at:end]
+        at = end
+
+
+def _elements(text: str, target: list[tuple]):
+    """The elements of the array at ``target`` in a document, cut as blocks are, so nothing is parsed here."""
+    data, reader, at = text.encode(), splitter.Reader(target, splitter.State()), 0
+    while at < len(data):
+        end = data.find(b"}", min(at + STEP, len(data))) + 1 or len(data)
+        for _, record in reader.feed(data[at:end]):
+            yield record.strip().decode()
+        at = end
+    for _, record in reader.finish():
+        if record.strip():
+            yield record.strip().decode()
+
+
+def _whole_files(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(o.recursive).lower())
     if o.path_glob_filter:
         reader = reader.option("pathGlobFilter", o.path_glob_filter)
-    encoding = o.encoding
+    encoding, target = o.encoding, splitter.target_stack(keys, array)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                text, at, n, decoder = content.decode(encoding, errors="ignore"), 0, 0, json.JSONDecoder(strict=False)
-                text = text.removeprefix("﻿")
-                while at < len(text):
-                    while at < len(text) and text[at].isspace():
-                        at += 1
-                    if at == len(text):
-                        break
-                    try:
-                        _, end = decoder.raw_decode(text, at)
-                    except ValueError:
-                        end = len(text)
-                    n += 1
-                    rows.append((file, 0, n, text[at:end]))
-                    at = end
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "block", "n", "text"])
+            for file, content in zip(batch.column("path"), batch.column("content")):
+                text = content.as_buffer().to_pybytes().decode(encoding, errors="ignore").removeprefix("\ufeff")
+                rows, size = [], 0
+                for n, record in enumerate(_elements(text, target) if array else _roots(text), 1):
+                    rows.append((file.as_py(), 0, n, record))
+                    size += len(record)
+                    if len(rows) >= 4096 or size > 1 << 24:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "block", "n", "text"])
+                        rows, size = [], 0
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "block", "n", "text"])
 
     return reader.load(path).select("path", "content").mapInArrow(run, "file string, block bigint, n bigint, text string")
 
 
 def split_records(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions) -> DataFrame:
     if o.partitioning == "whole" or o.encoding.upper().replace("-", "") != "UTF8":
-        docs = _whole_files(spark, path, o)
-        if not array:
-            return docs
-        query = build("$" + "".join(f"[{json.dumps(k)}]" for k in keys) + "[*]")
-        variant = F.try_parse_json(F.col("text"))
-        inner = "$" + "".join("['" + k.replace("'", "\\'") + "']" for k in keys)
-        at = F.try_variant_get(variant, inner, "array<variant>") if query else None
-        return docs.select("file", "block", F.posexplode(at).alias("n", "v")).select("file", "block", (F.col("n") + 1).cast("bigint").alias("n"), F.to_json("v").alias("text"))
-    first = None
-    if o.partitioning == "speculation":
-        first = _first_key(spark, path, keys, array, o)
-    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, first)
-
-
-def _first_key(spark: SparkSession, path, keys, array, o: ReadOptions) -> str | None:
-    """The key that all sampled records begin with and that stands nowhere deeper in them; else None (exact mode)."""
+        return _whole_files(spark, path, keys, array, o)
+    begin = _begin(spark, path, keys, array, o) if o.partitioning == "speculation" else None
+    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin)
+
+
+_BEGIN = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:', re.S)
+
+
+def _begin(spark: SparkSession, path, keys, array, o: ReadOptions) -> str | None:
+    """The text up to the first key's colon, if all sampled records begin with it and have it nowhere else; else None (exact mode)."""
     if not array:
         return None
     rows = splitter.fragments(spark, path, o.path_glob_filter, o.recursive)
@@ -106,25 +129,14 @@ def _first_key(spark: SparkSession, path, keys, array, o: ReadOptions) -> str |
         return None
     sample = rows.where((F.col("file") == first[0]) & (F.col("block") == first[1])).limit(SAMPLE).coalesce(1)
     target = splitter.target_stack(keys, array)
-    found = sample.mapInArrow(splitter._records(target, {(first[0], first[1]): splitter.State()}, None), splitter.SCHEMA)
-    heads, deep = set(), set()
+    found = sample.mapInArrow(splitter._records(target, {(first[0], first[1]): splitter.State()}), splitter.SCHEMA)
+    begin = None
     for r in found.where("place = 'record'").select("text").collect():  # SAMPLE rows at most
-        try:
-            value = json.loads(r["text"], strict=False)
-        except ValueError:
-            continue
-        if not isinstance(value, dict) or not value:
+        m = _BEGIN.match(r["text"].strip())
+        if not m or begin not in (None, m[0]) or r["text"].count(m[0]) != 1:
             return None
-        heads.add(next(iter(value)))
-        stack = list(value.values())
-        while stack:
-            v = stack.pop()
-            if isinstance(v, dict):
-                deep |= v.keys()
-                stack += v.values()
-            elif isinstance(v, list):
-                stack += v
-    return heads.pop() if len(heads) == 1 and not heads & deep else None
+        begin = m[0]
+    return begin
 
 
 def infer_type(rows: DataFrame, full: bool):
@@ -185,9 +197,57 @@ def _matching_type(rows: DataFrame, query: Query, own: Node | None):
 
 
 def parsed(text: Column, kind: T.DataType, mode: str = "PERMISSIVE") -> Column:
-    """A JSON text of any kind as a typed value; text columns of objects and arrays keep their JSON."""
+    """A JSON text of any kind as a typed value; text columns of objects and arrays keep their JSON.
+
+    Objects are parsed as they are, without options, so that Catalyst can leave out the fields that a query doesn't use.
+    """
+    options = {} if mode == "PERMISSIVE" else {"mode": mode}
+    if isinstance(kind, T.StructType):
+        return F.from_json(F.when(F.startswith(text, F.lit("{")), text), kind, options)
     wrapped = T.StructType([T.StructField("v", kind)])
-    return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), wrapped, {"mode": mode})["v"]
+    return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), wrapped, options)["v"]
+
+
+def _attribute_type(keys: list[tuple[str, ...]]) -> T.StructType | None:
+    """An object with texts at ``keys``; None if one leads through another."""
+    tree: dict = {}
+    for path in keys:
+        at = tree
+        for k in path[:-1]:
+            at = at.setdefault(k, {})
+            if at is None:
+                return None
+        if at.get(path[-1], None) is not None or (path[-1] in at) != (at.get(path[-1], 0) is None):
+            return None
+        at[path[-1]] = None
+
+    def kind(t: dict | None) -> T.DataType:
+        return T.StringType() if t is None else T.StructType([T.StructField(k, kind(v)) for k, v in t.items()])
+
+    return kind(tree)
+
+
+def _text_test(node: Node, text: Column) -> Column | None:
+    """A record's filters on its text: only the attributes in them are parsed, as texts, whatever their types, so
+    most records are rejected early and no pass over the data is needed to type them. None if a filter compares
+    attributes with each other or isn't native."""
+    filters_ = [parse_filter(t) for t in node.filters]
+    keys = list(dict.fromkeys(k for f in filters_ for k in attributes(f)))
+    kind = _attribute_type(keys) if keys and all(against_literals(f) and native(f) for f in filters_) else None
+    if kind is None:
+        return None
+
+    def at(value: Column):
+        def resolve(path: tuple[str, ...]) -> Column:
+            return reduce(lambda c, k: c.getField(k), path, value)
+
+        return resolve
+
+    def test(value: Column) -> Column:
+        return reduce(lambda a, b: a & b, (to_column(f, at(value), lambda path: T.StringType()) for f in filters_))
+
+    # as a lambda's variable, the parsed attributes are computed once
+    return F.element_at(F.transform(F.array(parsed(text, kind)), test), 1)
 
 
 def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, **options) -> DataFrame:
@@ -204,6 +264,9 @@ def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, *
         kind = T._parse_datatype_string(kind)
     own = rest[0] if rest and rest[0].step.kind == EACH and array else None  # the array's own filter: the element is the value already
     query = Query(rest[1:] if own else rest, query.output)
+    test = _text_test(own, F.col("text")) if own is not None else None
+    if test is not None:
+        rows, own = rows.where(test), None
     if kind is None:
         if o.schema_builder == "fullPass" or (own is None and not query.chain and query.output.ends):  # all records match
             kind = lattice.to_spark(infer_type(rows, o.schema_builder == "fullPass"))
@@ -226,8 +289,8 @@ def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, *
     if own is not None:
         df = df.where(filters(own, F.col(VALUE), kind))
     out = expand(df, query, kind, keep, keys[-1] if array and keys else None)
-    order = [c for c in out.columns if c not in keep]
-    return out.select(*order, *extra, *(c for c in keep if c not in extra))
+    names = [*(c for c in out.columns if c not in keep), *extra, *(c for c in keep if c not in extra)]
+    return out.select(*("`" + c.replace("`", "``") + "`" for c in names))
 
 
 def count_records(spark: SparkSession, path, json_path: str, **options) -> int:

@@ -2,17 +2,21 @@
 
 A document's bytes are read by Spark's text source with ``}`` as its line separator, so any file system
 and codec works and blocks begin behind a closing brace. Records are the elements of one array (given by
-the keys that lead to it), or the root values. Three steps:
+the keys that lead to it), or the root values. Exact mode, two passes:
 
 1. each block is summarised under both hypotheses, that it begins inside a string or not: how many
-   containers it closes that it didn't open, and which it leaves open, with their keys;
-2. the driver folds the summaries of a file (one a block) to the true state at each block's start;
-3. blocks are read again with their states; records that lie in one block are emitted, pieces of those
-   that cross blocks are joined afterwards (two pieces a block at most, or whole blocks inside one).
-
-The speculative mode skips the first two steps: a block is taken to begin in a record, and its first
-record is looked for at ``{"key":`` with the records' first key. Then every joined piece is checked to be
-one whole JSON value; if any isn't, the exact mode is used.
+   containers it closes that it didn't open, and which it leaves open, with their keys. At the same time,
+   for each depth at which it may begin, the pieces of records at its two edges are kept, if short;
+2. the driver folds the summaries of a file (one a block) to the true state at each block's start, and
+   picks each block's true pieces; records that cross blocks are joined from them. Blocks are read again
+   with their states, and the records that lie inside of one block are cut out.
+
+Where a piece is too long to be kept in the first pass, pieces come from one more pass like the second.
+
+The speculative mode reads with the text that the sampled records begin with (such as ``{"key":``) as the
+line separator: then Spark itself cuts the records, without Python. In a string that text can't
+stand, since its quotes would be escaped. One pass over all lines tells whether each is one whole record,
+with one head and one foot a file; if not, the exact mode is used.
 """
 
 from __future__ import annotations
@@ -23,67 +27,156 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-OPENERS, CLOSERS = b"{[", b"}]"
+from .shared import keep
+
 _KIND = np.zeros(256, np.int8)
 for _c in b"{[":
     _KIND[_c] = 1
 for _c in b"}]":
     _KIND[_c] = -1
-_COMMA = ord(",")
-_KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$', re.S)
+_MARK = _KIND != 0
+_MARK[ord(",")] = True
+
+#: Longest piece of a record that the first pass keeps, and the deepest start of a block that it allows for.
+LIMIT = 1 << 20
+LEVELS = 32
 
 
-def structure(data: np.ndarray, in_string: bool) -> tuple[np.ndarray, bool]:
-    """Places of brackets and commas outside strings, and whether the data end inside a string."""
-    quote = data == 34
-    if (data == 92).any():
-        back = data == 92
-        place = np.arange(len(data))
-        last = np.maximum.accumulate(np.where(~back, place, -1))
-        before = np.concatenate(([0], (place - last)[:-1]))  # backslashes right before each byte
-        quote &= before % 2 == 0
-    inside = (np.cumsum(quote) + in_string) % 2 == 1
-    at = np.flatnonzero(((_KIND[data] != 0) | (data == _COMMA)) & ~inside)
-    return at, bool(inside[-1]) if len(data) else in_string
+def structure(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of brackets and commas, whether an odd number of quotes stands before each, and before the end."""
+    quotes = np.flatnonzero(data == 34)
+    back = np.flatnonzero(data == 92)
+    if len(back) and len(quotes):
+        place = np.arange(len(back))
+        run = place - np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(back) != 1)), place, 0)) + 1
+        j = np.minimum(np.searchsorted(back, quotes - 1), len(back) - 1)
+        quotes = quotes[~((back[j] == quotes - 1) & (run[j] % 2 == 1))]
+    at = np.flatnonzero(_MARK[data])
+    return at, np.searchsorted(quotes, at) % 2 == 1, len(quotes) % 2
 
 
 @dataclass
 class State:
-    """Open containers as (bracket, key) from the root, and whether a string is open."""
+    """Open containers as (bracket, key) from the root, whether a string is open, and the bytes since the last
+    bracket or comma if they may be the begin of a key."""
 
     stack: list = field(default_factory=list)
     in_string: bool = False
+    begun: bytes = b""
+
+
+def _key(between: bytes) -> str | None:
+    """The key that stands between a bracket or comma and an opening bracket."""
+    text = between.strip()
+    if not text.endswith(b":"):
+        return None
+    try:
+        return json.loads(text[:-1].decode(errors="replace"), strict=False)
+    except ValueError:
+        return None
+
 
+def _begun_key(between: bytes) -> bytes:
+    """``between``, which ends inside a string, if that string may be a key: then it stands first."""
+    text = between.lstrip()
+    return between if text.startswith(b'"') and not re.match(rb'"(?:[^"\\]|\\.)*"', text, re.S) else b""
 
-def _key_before(data: bytes, at: int, since: int) -> str | None:
-    m = _KEY.search(data, max(since, at - 4096), at)
-    return json.loads(b'"' + m[1] + b'"', strict=False) if m else None
+
+class Summary:
+    """What a block does to the state, under one hypothesis on its start; fed piece by piece."""
+
+    def __init__(self, in_string: bool, array: bool):
+        self.in_string, self.array = in_string, array
+        self.closed, self.opened, self.since, self.size = 0, [], b"", 0
+        self.seen, self.first = False, b""  # of the first opener, if nothing stands before it: what may end a key begun earlier
+        self.ends: dict[int, list] = {}  # by how far the block begins below the records: first, last, number, over
+
+    def feed(self, data: bytes, raw: np.ndarray, at: np.ndarray, odd: np.ndarray, quotes: int) -> None:
+        at = at[odd == self.in_string]
+        step = _KIND[raw[at]].astype(np.int64)
+        base = len(self.opened) - self.closed
+        depth = base + np.cumsum(step)
+        if len(at):
+            low = min(base, int(depth.min()))
+            pops = base - low
+            lost = max(0, pops - len(self.opened))
+            del self.opened[len(self.opened) - (pops - lost) :]
+            self.closed += lost
+            later = np.minimum.accumulate(depth[::-1])[::-1]
+            for i in np.flatnonzero((step > 0) & (later >= depth)).tolist():
+                p = int(at[i])
+                between = data[int(at[i - 1]) + 1 : p] if i else self.since + data[:p]
+                self.opened.append([chr(data[p]), _key(between)])
+                if not i and not self.seen:
+                    self.first = between
+            for k in range(min(self.closed, LEVELS) + 1):
+                self._mark(k, at, step, depth)
+            self.since, self.seen = data[int(at[-1]) + 1 :], True
+        else:
+            self.since += data
+        self.in_string ^= bool(quotes)
+        self.size += len(data)
+
+    def _mark(self, k: int, at: np.ndarray, step: np.ndarray, depth: np.ndarray) -> None:
+        e = self.ends.setdefault(k, [None, None, 0, False, None])
+        if e[3]:
+            return
+        if self.array:
+            close = (step < 0) & (depth == -k - 1)
+            hit = np.flatnonzero(((step == 0) & (depth == -k)) | close)
+            over = np.flatnonzero(close[hit])
+            if len(over):
+                hit, e[3] = hit[: int(over[0]) + 1], True
+        else:
+            hit = np.flatnonzero((step < 0) & (depth == -k))
+            begins = np.flatnonzero((step > 0) & (depth == 1 - k))
+            if len(begins):
+                e[4] = self.size + int(at[begins[-1]])
+        if len(hit):
+            if e[0] is None:
+                e[0] = self.size + int(at[hit[0]])
+            e[1] = self.size + int(at[hit[-1]])
+            e[2] += len(hit)
+
+    def pieces(self, lead: bytes, trail: bytes):
+        """(k, records inside, piece at the begin, piece at the end or None, whether all is one piece), if short."""
+        depth = len(self.opened) - self.closed
+        for k, (first, last, n, over, begin) in self.ends.items():
+            if self.array:
+                if first is None:
+                    if self.size <= LIMIT:
+                        yield k, 0, lead, None, True
+                elif first <= LIMIT and (over or self.size - last - 1 <= LIMIT):
+                    yield k, n - 1, lead[:first], None if over else trail[len(trail) - (self.size - last - 1) :], False
+                continue
+            open_ = depth > -k
+            if k and first is None:
+                if self.size <= LIMIT:
+                    yield k, 0, lead, None, True
+            elif (not k or first < LIMIT) and (not open_ or (begin is not None and self.size - begin <= LIMIT)):
+                yield k, n - (k > 0), lead[: first + 1] if k else b"", trail[len(trail) - (self.size - begin) :] if open_ else None, False
+
+    def told(self) -> dict:
+        return {"closed": self.closed, "opened": self.opened, "string": self.in_string, "begun": _begun_key(self.since).decode("latin-1") if self.in_string else "", "first": self.first.decode("latin-1")}
 
 
 def summarise(data: bytes, in_string: bool) -> dict:
-    """Containers closed beyond those opened, those left open, and the string state at the end."""
+    """The summary of a whole block."""
+    s = Summary(in_string, True)
     raw = np.frombuffer(data, np.uint8)
-    at, ends = structure(raw, in_string)
-    at = at[_KIND[raw[at]] != 0]
-    step = _KIND[raw[at]].astype(np.int64)
-    depth = np.cumsum(step)
-    closed = int(max(0, -depth.min())) if len(depth) else 0
-    opened = []
-    if len(depth):
-        # an opener stays open if no later depth falls below the one it makes
-        later = np.minimum.accumulate(depth[::-1])[::-1]
-        for i in np.flatnonzero((step > 0) & (later >= depth)):
-            p = int(at[i])
-            opened.append([chr(data[p]), _key_before(data, p, 0)])
-    return {"closed": closed, "opened": opened, "string": ends}
+    s.feed(data, raw, *structure(raw))
+    return s.told()
 
 
 def advance(state: State, summary: dict) -> State:
-    keep = len(state.stack) - summary["closed"]
-    return State([*state.stack[: max(0, keep)], *map(tuple, summary["opened"])], summary["string"])
+    opened = list(map(tuple, summary["opened"]))
+    if opened and state.begun and summary["first"]:  # the first one's key began in an earlier block
+        opened[0] = (opened[0][0], _key(state.begun + summary["first"].encode("latin-1")))
+    own = state.stack[: max(0, len(state.stack) - summary["closed"])]
+    return State([*own, *opened], summary["string"], summary["begun"].encode("latin-1"))
 
 
 def target_stack(keys: list[str], array: bool) -> list[tuple]:
@@ -100,7 +193,7 @@ class Reader:
 
     def __init__(self, target: list[tuple], state: State):
         self.target, self.depth = target, len(target)
-        self.stack, self.in_string = list(state.stack), state.in_string
+        self.stack, self.in_string, self.since = list(state.stack), state.in_string, state.begun
         self.inside = len(self.stack) >= self.depth and self.stack[: self.depth] == target
         self.open = self.inside and (len(self.stack) > self.depth or self.in_string)
         self.cut = not self.open  # a boundary was seen, so what comes is not of an earlier record
@@ -108,46 +201,47 @@ class Reader:
             self.open, self.cut = True, False  # between records: what stands before the next comma is of the earlier one
         self.text = b""
 
-    def feed(self, data: bytes):
-        carried = len(self.text)
-        data = self.text + data
-        raw = np.frombuffer(data, np.uint8)
-        at, self.in_string = structure(raw[carried:], self.in_string)
-        at = at + carried
+    def feed(self, new: bytes):
+        raw = np.frombuffer(new, np.uint8)
+        at, odd, quotes = structure(raw)
+        at = at[odd == self.in_string]
+        self.in_string ^= bool(quotes)
         step = _KIND[raw[at]].astype(np.int64)
         depth = len(self.stack) + np.cumsum(step)
         shallow = np.flatnonzero(np.where(step > 0, depth - 1, depth) <= self.depth)
-        full, start, since = self.stack, 0, 0
-        stack = full[: self.depth + 1]
+        stack, start, before = self.stack[: self.depth + 1], 0, self.text
+        end = int(depth[-1]) if len(depth) else len(self.stack)
+
+        def upto(p: int) -> bytes:
+            return before + new[start:p]
+
         for i in shallow.tolist():
             p, d, s = int(at[i]), int(depth[i]), int(step[i])
             if s > 0:
                 if d <= self.depth:
-                    stack = stack[: d - 1] + [(chr(data[p]), _key_before(data, p, since) if d > 1 else None)]
+                    between = new[int(at[i - 1]) + 1 : p] if i else self.since + new[:p]
+                    stack = stack[: d - 1] + [(chr(new[p]), _key(between) if d > 1 else None)]
                     if d == self.depth and stack == self.target:
                         self.inside = self.open = self.cut = True
-                        start = p + 1
+                        before, start = b"", p + 1
                 elif not self.depth and not self.open:
-                    self.open, start = True, p
+                    self.open, before, start = True, b"", p
             elif s < 0:
                 if self.depth and self.inside and d == self.depth - 1:
-                    yield from self._done(data[start:p])
-                    self.inside = self.open = False
+                    yield from self._done(upto(p))
+                    before, self.inside, self.open = b"", False, False
                 elif not self.depth and d == 0:
-                    yield from self._done(data[start : p + 1])
-                    self.open = False
+                    yield from self._done(upto(p + 1))
+                    before, self.open = b"", False
                 if d < self.depth:
-                    stack = stack[:d]
+                    stack = stack[: max(d, 0)]
             elif self.inside and self.depth and d == self.depth:
-                yield from self._done(data[start:p])
-                start, self.open = p + 1, True
-            since = p + 1
+                yield from self._done(upto(p))
+                before, start, self.open = b"", p + 1, True
         # the full stack, for the next piece: only its depth and its first levels matter
-        end = int(depth[-1]) if len(depth) else len(full)
-        self.stack = (stack + [("", None)] * end)[:end] if end > len(stack) else stack[:end]
-        self.text = data[start:] if self.open else data[max(0, len(data) - 4096) :]
-        if not self.open:
-            self.text = self.text[max(0, (since - (len(data) - len(self.text)))) :]
+        self.stack = (stack + [("", None)] * max(end, 0))[:end] if end > len(stack) else stack[: max(end, 0)]
+        self.since = new[int(at[-1]) + 1 :] if len(at) else self.since + new
+        self.text = upto(len(new)) if self.open else b""
 
     def _done(self, text: bytes):
         place = "record" if self.cut else "head"
@@ -184,80 +278,122 @@ def _blocks(batches):
         yield (*key, b"".join(parts), True)
 
 
-def fragments(spark: SparkSession, path, glob: str | None, recursive: bool) -> DataFrame:
-    reader = spark.read.option("lineSep", "}").option("recursiveFileLookup", str(recursive).lower())
+def fragments(spark: SparkSession, path, glob: str | None, recursive: bool, separator: str = "}") -> DataFrame:
+    reader = spark.read.option("lineSep", separator).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def _summaries(batches):
-    buffers: list[bytes] = []
-    for file, block, data, end in _blocks(batches):
-        buffers.append(data)
-        if end:
-            whole = b"".join(buffers)
-            buffers = []
-            yield pa.record_batch([pa.array([file]), pa.array([block], pa.int64()), pa.array([json.dumps([summarise(whole, s) for s in (False, True)])])], ["file", "block", "summary"])
+EDGES = "file string, block bigint, known int, k int, n bigint, head string, tail string, whole boolean"
+KNOWN = 2  # the block's state is known: it is its file's first
 
 
-def exact_states(parts: DataFrame) -> dict[tuple[str, int], State]:
-    """The state at the start of every block: one summary a block reaches the driver."""
-    rows = parts.mapInArrow(_summaries, "file string, block bigint, summary string").collect()
-    out, now, last = {}, State(), None
-    for r in sorted(rows, key=lambda r: (r["file"], r["block"])):
-        if r["file"] != last:
-            now, last = State(), r["file"]
-        out[r["file"], r["block"]] = now
-        now = advance(now, json.loads(r["summary"])[now.in_string])
-    return out
+def _edges(target: list[tuple]):
+    """Of each block a row with its summaries (known = -1), and one for each way its edges may be cut."""
+    array = bool(target)
+    names = [x.split()[0] for x in EDGES.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+
+    def run(batches):
+        sums, lead, trail, reader, n = None, b"", b"", None, 0
+        for file, block, data, end in _blocks(batches):
+            if sums is None:
+                sums = [Summary(s, array) for s in ((False,) if block == 0 else (False, True))]
+                lead, trail, n = b"", b"", 0
+                reader = Reader(target, State()) if block == 0 else None
+            raw = np.frombuffer(data, np.uint8)
+            found = structure(raw)
+            for s in sums:
+                s.feed(data, raw, *found)
+            if reader:
+                n += sum(place == "record" for place, _ in reader.feed(data))
+            elif len(lead) <= LIMIT:
+                lead += data[: LIMIT + 1 - len(lead)]
+            if not reader:
+                trail = data[-LIMIT:] if len(data) >= LIMIT else (trail + data)[-LIMIT:]
+            if not end:
+                continue
+            text = lambda x: None if x is None else x.decode(errors="ignore")
+            rows = []
+            if reader:
+                rows += [(file, block, KNOWN, 0, n, None, text(t), False) for _, t in reader.finish()]
+            else:
+                rows += [(file, block, int(i), k, m, text(head), text(tail), whole) for i, s in enumerate(sums) for k, m, head, tail, whole in s.pieces(lead, trail)]
+            kept = [[r[2], r[3], r[6] is not None, r[7]] for r in rows]
+            rows.append((file, block, -1, 0, 0, json.dumps([[s.told() for s in sums], kept]), None, False))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            sums = None
+
+    return run
 
 
-def _records(target: list[tuple], states: dict | None, first_key: str | None):
+@dataclass
+class Plan:
+    """The state at the start of every block, and which of its kept pieces are true: (file, block, known, k, group of
+    the piece at the begin, group of the piece at the end), a group being the block where the record begins;
+    None if a piece wasn't kept."""
+
+    states: dict[tuple[str, int], State]
+    picks: list[tuple] | None
+
+
+def _inside(state: State, target: list[tuple]) -> bool:
+    return len(state.stack) >= len(target) and state.stack[: len(target)] == target
+
+
+def fold(rows, target: list[tuple]) -> Plan:
+    """``rows``: (file, block, summaries) of all blocks."""
+    states, picks, whole, now, last, group = {}, [], True, State(), None, None
+    for file, block, text in sorted(rows):
+        told, kept = json.loads(text)
+        if file != last:
+            now, last, group = State(), file, None
+        states[file, block] = now
+        after = advance(now, told[now.in_string] if block else told[0])
+        if block == 0:
+            if kept:
+                picks.append((file, block, KNOWN, 0, None, block))
+                group = block
+        elif _inside(now, target):
+            key = [int(now.in_string), len(now.stack) - len(target)]
+            mine = next((x for x in kept if x[:2] == key), None)
+            if mine is None or (target and not mine[2] and not mine[3] and _inside(after, target)):
+                whole = False
+            else:
+                picks.append((file, block, *key, group, block if mine[2] else None))
+                group = group if mine[3] else block if mine[2] else None
+        elif _inside(after, target):
+            whole = False  # the array begins in a later block
+        now = after
+    return Plan(states, picks if whole else None)
+
+
+def _records(target: list[tuple], states: dict | None):
     schema = ["file", "block", "n", "place", "text"]
 
     def run(batches):
-        reader, count, pending, rows = None, 0, b"", []
+        reader, count, rows, size = None, 0, [], 0
 
         def emit():
-            nonlocal rows
+            nonlocal rows, size
             if rows:
                 got = list(zip(*rows))
-                yield pa.record_batch([pa.array(got[0]), pa.array(got[1], pa.int64()), pa.array(got[2], pa.int64()), pa.array(got[3]), pa.array([t.decode(errors="ignore") for t in got[4]], pa.large_string()).cast(pa.string())], schema)
-            rows = []
+                yield pa.record_batch([pa.array(got[0]), pa.array(got[1], pa.int64()), pa.array(got[2], pa.int64()), pa.array(got[3]), pa.array([(t.strip() if p == "record" else t).decode(errors="ignore") for p, t in zip(got[3], got[4])], pa.large_string()).cast(pa.string())], schema)
+            rows, size = [], 0
 
-        size = 0
         for file, block, data, end in _blocks(batches):
             if reader is None:
-                count = 0
-                if states is not None:
-                    reader = Reader(target, states[file, block])
-                elif block == 0:
-                    reader = Reader(target, State())
-                else:  # look for a record's first key; what stands before it belongs to the record begun earlier
-                    pending += data
-                    m = re.search(rb'\{\s*"' + re.escape(json.dumps(first_key)[1:-1].encode()) + rb'"\s*:', pending)
-                    if not m:
-                        if end:
-                            rows.append((file, block, 0, "middle", pending))
-                            pending = b""
-                        continue
-                    cut = pending.rfind(b",", 0, m.start())
-                    rows.append((file, block, 0, "head", pending[: max(cut, 0)]))
-                    data, pending = pending[cut + 1 :], b""
-                    reader = Reader(target, State(target, False))
-                    reader.open = reader.cut = reader.inside = True
+                count, reader = 0, Reader(target, states[file, block])
             for place, text in reader.feed(data):
                 count += place == "record"
                 rows.append((file, block, count if place == "record" else 0, place, text))
                 size += len(text)
                 if len(rows) >= 4096 or size > 1 << 24:
-                    size = 0
                     yield from emit()
             if end:
                 rows += [(file, block, count + 1 if place == "tail" else 0, place, text) for place, text in reader.finish()]
                 reader = None
-                yield from emit()
         yield from emit()
 
     return run
@@ -266,46 +402,136 @@ def _records(target: list[tuple], states: dict | None, first_key: str | None):
 SCHEMA = "file string, block bigint, n bigint, place string, text string"
 
 
-def _whole(text: str) -> bool:
-    try:
-        json.loads(text, strict=False)
-        return True
-    except ValueError:
-        return False
-
-
-def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", first_key=None) -> DataFrame:
-    """(file, block, n, text): the records, n counting from 1 in each block."""
-    parts = fragments(spark, path, glob, recursive)
+def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", begin: str | None = None) -> DataFrame:
+    """(file, block, n, text): the records, n counting from 1 in each block (speculation: growing in each). ``begin``: what all
+    records begin with, for speculation."""
     target = target_stack(keys, array)
-    states = None
-    if strategy != "speculation" or first_key is None:
-        strategy, states = "fullPass", exact_states(parts)
-    found = parts.mapInArrow(_records(target, states, first_key), SCHEMA)
-    if strategy == "speculation" and not _agrees(found):
-        return records(spark, path, keys, array, glob, recursive, "fullPass")
+    if strategy == "speculation" and (begin or not array):
+        found = _speculated(spark, path, target, glob, recursive, begin) if array else _lines(spark, path, glob, recursive)
+        if found is not None:
+            return found
+    parts = fragments(spark, path, glob, recursive)
+    edges = keep(parts.mapInArrow(_edges(target), EDGES), "edges")
+    told = edges.where("known = -1").select("file", "block", "head").toArrow()
+    plan = fold(list(zip(*(told.column(i).to_pylist() for i in range(3)))), target)
+    found = parts.mapInArrow(_records(target, plan.states), SCHEMA)
     inside = found.where("place = 'record'").select("file", "block", "n", "text")
-    joined = _joined(found).where("trim(text) <> ''")
-    return inside.unionByName(joined.select("file", "block", "n", "text"))
+    joined = _joined(found) if plan.picks is None else _picked(edges, plan.picks)
+    if joined is None:
+        return inside
+    return inside.unionByName(joined.where("text <> ''").select("file", "block", "n", "text"))
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    """Records from (file, g, block, o, text, n): their pieces in order; they count where they begin."""
+    out = pieces.groupBy("file", "g").agg(F.sort_array(F.collect_list(F.struct("block", "o", "text", "n"))).alias("p"))
+    text = F.btrim(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit(" \t\r\n"))
+    return out.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["n"].alias("n"), text.alias("text"))
+
+
+def _picked(edges: DataFrame, picks: list[tuple]) -> DataFrame | None:
+    """Records that cross blocks, from the pieces that the first pass kept."""
+    picks = [x for x in picks if x[4] is not None or x[5] is not None]
+    if not picks:
+        return None
+    names, kinds = ["file", "block", "known", "k", "g_head", "g_tail"], [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    table = edges.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*picks), kinds)], names))
+    mine = edges.join(table, ["file", "block", "known", "k"])
+    head = mine.where("g_head is not null").select("file", F.col("g_head").alias("g"), "block", F.lit(0).alias("o"), F.col("head").alias("text"), F.lit(0).cast("bigint").alias("n"))
+    tail = mine.where("g_tail is not null").select("file", F.col("g_tail").alias("g"), "block", F.lit(1).alias("o"), F.col("tail").alias("text"), (F.col("n") + 1).alias("n"))
+    return _whole(head.unionByName(tail))
 
 
 def _joined(found: DataFrame) -> DataFrame:
-    """Records that cross blocks, from their pieces; they count where they begin."""
+    """Records that cross blocks, from their pieces in a full pass."""
     order = F.when(F.col("place") == "tail", 1).otherwise(0)
     w = Window.partitionBy("file").orderBy("block", order).rowsBetween(Window.unboundedPreceding, 0)
     pieces = found.where("place <> 'record'").withColumn("g", F.sum(F.when(F.col("place") == "tail", 1).otherwise(0)).over(w))
-    row = F.struct("block", order.alias("o"), "text", "n")
-    out = pieces.groupBy("file", "g").agg(F.sort_array(F.collect_list(row)).alias("p"))
     # a file's last piece may hold the marks that close its document
-    return out.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["n"].alias("n"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return _whole(pieces.select("file", "g", "block", order.alias("o"), "text", "n"))
+
+
+MOST_ENDS = 100
+
+
+def _line(begin: str) -> Column:
+    """A line as its record's text: the separator put back, the comma behind the record taken off."""
+    return F.concat(F.lit(begin), F.regexp_replace("value", r",\s*$", ""))
 
 
-def _agrees(found: DataFrame) -> bool:
-    """Whether every record that was cut from or joined over blocks is one JSON value."""
+def _one_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: what is put behind it is reached only then."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit(',"w":1}')), "$.w").isNotNull()
+
+
+def _valid(text: str) -> bool:
+    try:
+        json.loads(text, strict=False)
+        return True
+    except ValueError:
+        return False
+
+
+def _odd(target: list[tuple], begin: str):
+    """(file, kind, text) of lines that are no whole record: 'head' before a file's first record, 'none' of a file
+    without any, 'last' with what follows the file's last record, and 'bad'."""
+
+    def kind(line: str) -> tuple[str, str]:
+        try:
+            _, end = json.JSONDecoder(strict=False).raw_decode(begin + line)
+        except ValueError:
+            reader = Reader(target, State())
+            if list(reader.feed(line.encode())):
+                return "bad", ""
+            if reader.inside and reader.cut and not reader.text.strip():
+                return "head", line
+            return ("none" if _valid(line) else "bad"), line
+        rest, after = (begin + line)[end:], Reader(target, State(target, False))
+        after.open = after.cut = True
+        out = [place for place, _ in (*after.feed((begin + line).encode()), *after.finish())]
+        return ("last" if rest.lstrip().startswith("]") and out == ["record"] and not after.stack and not after.in_string else "bad"), rest
 
     def run(batches):
         for batch in batches:
-            bad = sum(not _whole(t) for t in batch.column("text").to_pylist() if t.strip())
-            yield pa.record_batch([pa.array([bad], pa.int64())], ["bad"])
+            told = [kind(x) for x in batch.column("value").to_pylist()]
+            yield pa.record_batch([batch.column("file"), pa.array([k for k, _ in told], pa.string()), pa.array([t for _, t in told], pa.string()), batch.column("lines")], ["file", "kind", "text", "lines"])
+
+    return run
+
 
-    return not _joined(found).select("text").mapInArrow(run, "bad bigint").agg(F.sum("bad")).head()[0]
+def _numbered(lines: DataFrame, text: Column) -> DataFrame:
+    n = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return lines.select("file", "block", n.alias("n"), text.alias("text"))
+
+
+def _lines(spark: SparkSession, path, glob, recursive) -> DataFrame | None:
+    """Root values, if each stands in a line of its own; else None."""
+    lines = fragments(spark, path, glob, recursive, "\n").withColumn("value", F.btrim("value", F.lit(" \t\r"))).where("value <> ''")
+    if not lines.where(~_one_value(F.col("value"))).isEmpty():
+        return None
+    return _numbered(lines.where(F.substring("value", 1, 1).isin("{", "[")), F.col("value"))
+
+
+def _speculated(spark: SparkSession, path, target: list[tuple], glob, recursive, begin: str) -> DataFrame | None:
+    """The records as Spark's lines, or None if some line isn't one."""
+    lines = fragments(spark, path, glob, recursive, begin)
+    odd = lines.select("file", F.when(~_one_value(_line(begin)), F.col("value")).alias("odd"))
+    odd = odd.groupBy("file").agg(F.count("*").alias("lines"), F.count("odd").alias("c"), F.min("odd").alias("a"), F.max("odd").alias("b"))
+    odd = keep(odd, "odd")  # a row a file
+    if not odd.where("c not in (1, 2)").isEmpty():
+        return None
+    each = odd.select("file", "lines", F.explode(F.when(F.col("c") == 1, F.array("a")).otherwise(F.array("a", "b"))).alias("value"))
+    told = keep(each.mapInArrow(_odd(target, begin), "file string, kind string, text string, lines bigint"), "told")
+    kinds = told.groupBy("file").agg(F.sort_array(F.collect_list("kind")).alias("k"), F.max("lines").alias("lines"))
+    fine = (F.col("k") == F.array(F.lit("head"), F.lit("last"))) | ((F.col("k") == F.array(F.lit("none"))) & (F.col("lines") == 1))
+    if not kinds.where(~fine).isEmpty():
+        return None
+    ends = told.select((F.col("kind") == "last").alias("last"), "text").distinct().limit(2 * MOST_ENDS + 1).collect()  # few, else exact mode
+    heads, feet = [r["text"] for r in ends if not r["last"]], [r["text"] for r in ends if r["last"]]
+    if len(ends) > 2 * MOST_ENDS or sum(map(len, heads + feet)) > LIMIT:
+        return None
+    own, text = F.concat(F.lit(begin), "value"), _line(begin)
+    for foot in sorted(feet, key=len):  # no foot ends as a record does, so the longest that fits is the file's own
+        last = ~F.regexp_like("value", F.lit(r",\s*$")) & own.endswith(foot)
+        text = F.when(last, F.substring(own, F.lit(1), F.length(own) - len(foot))).otherwise(text)
+    return _numbered(lines.where(~F.col("value").isin(heads)) if heads else lines, text)
