@@ -51,28 +51,49 @@ def customers_dir(spark, sf, path):
         _document(rows, "[", "]").coalesce(1).write.mode("overwrite").text(f"{path}/part={i}")
 
 
-def geo_doc(spark, sf, path):
+def sites_doc(spark, sf, path):
+    """A survey of sites: points, lines and squares, one a customer."""
     k = F.col("c_custkey")
     x, y = (k % 20).cast("double"), (k % 15).cast("double")
     point = F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
     line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(x, y), F.array(x + 1, y)).alias("coordinates"))
-    geometry = F.when(k % 4 == 0, F.to_json(line)).otherwise(F.to_json(point))
-    tags = F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("Q"), k % 50).alias("wikidata"), F.when(k % 2 == 0, "boundary_x").otherwise("road").alias("type")).alias("tagsMap"), k.alias("key")).alias("properties")))
-    value = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(","), F.substring(tags, 2, 1 << 20))
+    ring = F.array(*(F.array(a, b) for a, b in ((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y))))
+    area = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    geometry = F.when(k % 4 == 0, F.to_json(line)).when(k % 4 == 2, F.to_json(area)).otherwise(F.to_json(point))
+    info = F.to_json(F.struct(k.alias("number"), F.concat(F.lit("S"), k % 50).alias("stock"), F.when(k % 3 == 0, "planned").otherwise("built").alias("state")))
+    value = F.concat(F.lit('{"geometry":'), geometry, F.lit(',"info":'), info, F.lit("}"))
     c = spark.read.parquet(f"{sf}/customer.parquet")
-    _document(c.select(k.alias("k"), value.alias("json")), '{"type":"FeatureCollection","features":[', "]}").coalesce(1).write.mode("overwrite").text(path)
+    _document(c.select(k.alias("k"), value.alias("json")), '{"survey":{"year":2024,"sites":[', "]}}").coalesce(1).write.mode("overwrite").text(path)
 
 
-def entities(spark, sf, path):
+def catalogue(spark, sf, path):
+    """A root array of goods, whose trials stand under keys that differ."""
     p, k = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_partkey")
-    snak = lambda i: F.struct(F.struct(F.when(k % 2 == 0, "wikibase-item").otherwise("string").alias("datatype"), (k * 10 + i).alias("value")).alias("mainsnak"))
-    claims = F.when(k % 3 == 0, F.to_json(F.struct(F.struct(F.array(snak(1), snak(2)).alias("P1"), F.array(snak(3)).alias("P2")).alias("claims")))).otherwise(F.to_json(F.struct(F.struct(F.array(snak(1)).alias("P2")).alias("claims"))))
-    head = F.to_json(F.struct(F.concat(F.lit("Q"), k).alias("id"), F.struct(F.struct(F.col("p_name").alias("value")).alias("en")).alias("labels")))
-    value = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(","), F.substring("c", 2, 1 << 20))
-    rows = p.select(k.alias("k"), head.alias("h"), claims.alias("c")).select("k", value.alias("json"))
+    trial = lambda i: F.struct(F.struct((k % 10 + i).alias("grade"), F.when(k % 2 == 0, "weighed").otherwise("seen").alias("how")).alias("trial"))
+    trials = F.when(k % 3 == 0, F.to_json(F.struct(F.array(trial(1), trial(2)).alias("first"), F.array(trial(3)).alias("last")))).otherwise(F.to_json(F.struct(F.array(trial(1)).alias("last"))))
+    head = F.to_json(F.struct(F.concat(F.lit("S"), k).alias("code"), F.struct(F.col("p_name").alias("short")).alias("title")))
+    value = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"trials":'), F.col("c"), F.lit("}"))
+    rows = p.select(k.alias("k"), head.alias("h"), trials.alias("c")).select("k", value.alias("json"))
     _document(rows, "[", "]").coalesce(1).write.mode("overwrite").text(path)
 
 
+def mixed_doc(spark, sf, path):
+    """Values of a different type in each fifth record, keys with dots, and a type and a key that come late."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(k % 5 == 2, F.concat(F.lit('"x'), k, F.lit('"')))
+    value = value.when(k % 5 == 3, (k % 2 == 0).cast("string")).otherwise('{"deep":1}')
+    late = F.when(k >= 1200, F.concat(F.lit(',"late":true,"wide":"w'), k, F.lit('"'))).otherwise(F.concat(F.lit(',"wide":'), k))
+    json_ = F.concat(F.lit('{"n":'), k, F.lit(',"v":'), value, F.lit(',"a.b":'), k % 7, F.lit(',"a":{"b":'), -k, F.lit("}"), late, F.lit("}"))
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    _document(o.select(k.alias("k"), json_.alias("json")), '{"all.items":[', "]}").coalesce(1).write.mode("overwrite").text(path)
+
+
+def events_jsonl(spark, sf, path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")
+    e.select(F.to_json(F.struct("event_id", time, "user_id", "event_type", "value")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
 def docs_doc(spark, sf, path):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rows = d.select(F.col("doc_id").alias("k"), F.to_json(F.struct("doc_id", "lang", "text")).alias("json"))
@@ -89,7 +110,7 @@ def types_doc(spark, sf, path):
     spark.range(1).select(F.lit(json.dumps({"rows": TYPES})).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-BUILDERS: dict[str, Callable] = {f.__name__: f for f in (orders_doc, orders_jsonl, customers_dir, geo_doc, entities, docs_doc, types_doc)}
+BUILDERS: dict[str, Callable] = {f.__name__: f for f in (orders_doc, orders_jsonl, customers_dir, sites_doc, catalogue, mixed_doc, events_jsonl, docs_doc, types_doc)}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> str:
