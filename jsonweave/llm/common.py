@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +105,24 @@ def marked(docs: DataFrame, bitmap: DataFrame, column: str = "doc_id", hit: bool
     return found.where(there if hit else ~there).drop("_place", "_at", "_bits")
 
 
+def _give_back() -> None:
+    """Let a Python worker, which waits for its next task, return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def by_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` that leaves a lean worker behind."""
+
+    def whole(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def text_of(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -122,7 +144,5 @@ def let(value: Column, body) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that nobody holds any more."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -27,9 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import by_arrow
 
 ORDERS = (5, 4, 3, 2, 1)
-CACHE = 400_000
+CACHE = 200_000
 SPREAD = 1 << 52
 
 
@@ -118,7 +119,7 @@ def fit(labelled: DataFrame, sample_docs: int = 6000, max_words: int = 40_000, m
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(float(sample_docs * SPREAD)) / F.col("n")
     rows = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("text"), F.lit(SPREAD)) < share).select("text", "lang")
-    counts = rows.mapInArrow(_count(), "lang string, kind string, item string, c bigint").groupBy("lang", "kind", "item").agg(F.sum("c").alias("c")).where("c > 1 or kind = 'g'")
+    counts = by_arrow(rows, _count(), "lang string, kind string, item string, c bigint").groupBy("lang", "kind", "item").agg(F.sum("c").alias("c")).where("c > 1 or kind = 'g'")
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "item"))
     top = counts.withColumn("p", place).where(F.col("p") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).drop("p")
     got = top.toArrow()  # bounded by the languages and the two limits; columns, not a Row object for each item
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     given = [c for c in ("doc_id", "held_out") if c in docs.columns]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in given), "lang_pred string", "score double"])
-    return docs.select(*given, "text").mapInArrow(_predict(model), schema)
+    return by_arrow(docs.select(*given, "text"), _predict(model), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -223,4 +224,4 @@ def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFr
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    return by_arrow(rows, run, rows.schema).select("row.*")

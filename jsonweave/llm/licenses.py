@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import by_arrow
+
 #: Notices of public licences, as their stewards word them.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -125,4 +127,4 @@ def _rows(templates: dict, least: float):
 
 def scan_licenses(docs: DataFrame, templates: dict | None = None, least: float = 0.8) -> DataFrame:
     """Per row: doc_id, license (the best, or null), dice, licenses (all found, by name, with commas)."""
-    return docs.select("doc_id", "text").mapInArrow(_rows(templates or TEMPLATES, least), "doc_id bigint, license string, dice double, licenses string")
+    return by_arrow(docs.select("doc_id", "text"), _rows(templates or TEMPLATES, least), "doc_id bigint, license string, dice double, licenses string")

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, drop, marked, marks, release, shuffle_partitions, stash
+from .common import Shelf, by_arrow, drop, marked, marks, release, shuffle_partitions, stash
 from .components import connected_components
 from .textnum import U, Words, column_words, mix
 
@@ -282,9 +282,9 @@ def _links(pairs: DataFrame, docs: DataFrame, own: DataFrame, n: int, percent: i
     near = sides(pairs, stash(signs, f"{name}-signs", shelf)).where(_differ("sign_a", "sign_b") <= _slack(F.col("n_a"), F.col("n_b"), percent))
     near = stash(near.select("a", "b").distinct(), f"{name}-near", shelf)
     ids = ends(near)
-    rows = marked(docs, marks(ids)).mapInArrow(_rows(n), "doc_id bigint, cells binary").join(ids, "doc_id")
+    rows = by_arrow(marked(docs, marks(ids)), _rows(n), "doc_id bigint, cells binary").join(ids, "doc_id")
     full = sides(near, stash(rows, f"{name}-rows", shelf, batch=1000)).select("a", "b", "cells_a", "cells_b")
-    out = stash(full.mapInArrow(_accumulated(percent), "a bigint, b bigint"), name, shelf, batch=256)
+    out = stash(by_arrow(full, _accumulated(percent), "a bigint, b bigint"), name, shelf, batch=256)
     del full
     release(docs.sparkSession)
     return out
@@ -341,17 +341,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    crowding = docs.mapInArrow(_crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
+    crowding = by_arrow(docs, _crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[crowding.column("bucket").to_numpy()] = crowding.column("c").to_numpy()
     levels = _levels(counts)
     with Shelf(spark) as shelf:
-        own = stash(docs.mapInArrow(_own(n, percent, levels), OWN), "ngram-own", shelf, batch=2000)
+        own = stash(by_arrow(docs, _own(n, percent, levels), OWN), "ngram-own", shelf, batch=2000)
         # a class's copies are merged where they are read, so a hot one moves a row a task
         first = own.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "head")).alias("m")).select("m.*")
-        cells = first.mapInArrow(_incidences(levels), "h bigint, pack bigint, doc bigint")
+        cells = by_arrow(first, _incidences(levels), "h bigint, pack bigint, doc bigint")
         cells = cells.repartition(2 * shuffle_partitions(spark), "h").sortWithinPartitions("h", "pack")
-        rows = stash(cells.mapInArrow(_shared(levels), "h bigint, pack bigint, doc bigint"), "ngram-columns", shelf)
+        rows = stash(by_arrow(cells, _shared(levels), "h bigint, pack bigint, doc bigint"), "ngram-columns", shelf)
         del first, cells
         sizes = stash(own.select("doc_id", "n", "key"), "ngram-sets")
         own = stash(own.drop("head", "key"), "ngram-signs", shelf)
@@ -381,17 +381,22 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> Data
     """One row of each group of near duplicates stays, that of least doc_id (nulls last; of ties the one read first).
 
     Rows are judged as rows, so different texts under one doc_id, or without one, are different documents;
-    equal rows are one group. Texts without words are linked with nothing and stay. An empty table stays empty;
-    all columns are carried, whatever their names. Only rows that may go are shuffled with their texts.
+    equal rows are one group. (Where doc_ids are null or repeat, rows get numbers and are written once for that.)
+    Texts without words are linked with nothing and stay. An empty table stays empty; all columns are carried,
+    whatever their names. Only rows that may go are shuffled with their texts.
     """
     spark = docs.sparkSession
-    rows = stash(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    found = near_duplicates(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), n, percent)
-    order = rows.select(F.col("rid"), F.col("row.doc_id").alias("doc_id"))
-    with Shelf(spark) as shelf:
-        found = stash(found.select(F.col("doc_id").alias("rid"), F.col("component_id").alias("comp")).join(order, "rid"), "near-groups", shelf)
-        first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"), F.count("*").alias("c")).where("c > 1")
-        gone = stash(found.join(first.select("comp", F.col("m.rid").alias("keep")), "comp").where("rid <> keep").select("rid"), "near-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("rid"))
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        rows = stash(rows.select("row", F.monotonically_increasing_id().alias("rid")), "near-rows")
+        found = near_duplicates(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), n, percent)
+        found = found.select(F.col("doc_id").alias("rid"), F.col("component_id").alias("comp")).join(rows.select("rid", F.col("row.doc_id").alias("doc_id")), "rid")
+        with Shelf(spark) as shelf:
+            found = stash(found, "near-groups", shelf)
+            first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m"), F.count("*").alias("c")).where("c > 1")
+            gone = stash(found.join(first.select("comp", F.col("m.rid").alias("keep")), "comp").where("rid <> keep").select("rid"), "near-gone")
+    else:
+        gone = stash(near_duplicates(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("rid")), "near-gone")
     bits = marks(gone, "rid")
     kept = marked(rows, bits, "rid", hit=False).unionByName(marked(rows, bits, "rid").join(gone, "rid", "left_anti"))
     return kept.select("row.*")

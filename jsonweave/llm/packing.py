@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import by_arrow, stash
 from .tokens import pieces
 
 RANK_BLOCKS = 64
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     """
     spark = docs.sparkSession
     rows = stash(
-        docs.select("doc_id", "text").mapInArrow(cut_documents(tokenizer, capacity, end_id, plain), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"),
+        by_arrow(docs.select("doc_id", "text"), cut_documents(tokenizer, capacity, end_id, plain), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"),
         "pack-pieces",
     ).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BLOCKS)).cast("int"))
     counts = rows.groupBy("length", "block").agg(F.count("*").alias("n"))  # capacity * RANK_BLOCKS rows at most

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import by_arrow
+
 MARK = "▁"
 CACHE = 500_000
 LONGEST = 64
@@ -259,4 +261,4 @@ def _rows(path: str, with_ids: bool, step: int = 256):
 def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_ids, ids_crc32, decoded_sha256, round_trip; with_ids adds ids and decoded."""
     schema = "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(_rows(model, with_ids), schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return by_arrow(docs.select("doc_id", "text"), _rows(model, with_ids), schema + (", ids array<int>, decoded string" if with_ids else ""))

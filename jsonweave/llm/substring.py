@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, marked, marks, release, shuffle_partitions, stash
+from .common import Shelf, by_arrow, marked, marks, release, shuffle_partitions, stash
 from .ngram_join import BUCKET_BITS, _bucket
 from .textnum import U, Words, column_words, mix
 
@@ -334,16 +334,16 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = 2 * shuffle_partitions(spark)
-    own = stash(docs.mapInArrow(_summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own", batch=ROWS)
+    own = stash(by_arrow(docs, _summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own", batch=ROWS)
     reps = own.groupBy("cls").agg(F.min("o").alias("rep"))
-    crowding = docs.mapInArrow(_crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
+    crowding = by_arrow(docs, _crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[crowding.column("bucket").to_numpy()] = crowding.column("c").to_numpy()
     levels = crowded_buckets(counts)
 
     with Shelf(spark) as shelf:
-        cells = docs.mapInArrow(_anchor_rows(width, levels), "h bigint, o bigint, word bigint").repartition(parts, "h").sortWithinPartitions("h")
-        kept = cells.mapInArrow(_recurring, "o bigint, word bigint")
+        cells = by_arrow(docs, _anchor_rows(width, levels), "h bigint, o bigint, word bigint").repartition(parts, "h").sortWithinPartitions("h")
+        kept = by_arrow(cells, _recurring, "o bigint, word bigint")
         firsts = own.where(f"n_words >= {width}").select("o", "cls").distinct().join(reps, "cls").where("o = rep").select("o", "cls")
         kept = kept.groupBy("o").agg(F.collect_set("word").alias("words")).join(firsts, "o").withColumn("rid", F.monotonically_increasing_id())
         kept = stash(kept, "sub-anchors", shelf, batch=ROWS)
@@ -353,17 +353,17 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
         texts = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("o"), "text")
         near = stash(marked(texts, marks(kept, "o"), "o").join(kept, "o").select("rid", "o", "cls", "text", "words"), "sub-texts", shelf)
         release(spark)
-        segments = near.mapInArrow(_segments(width, levels), "a bigint, seg binary, lo bigint, hi bigint").repartition(parts, "a").sortWithinPartitions("a")
-        phrases = stash(segments.mapInArrow(_automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases", shelf, batch=ROWS)
+        segments = by_arrow(near, _segments(width, levels), "a bigint, seg binary, lo bigint, hi bigint").repartition(parts, "a").sortWithinPartitions("a")
+        phrases = stash(by_arrow(segments, _automata(width), "a bigint, sh bigint, firsts array<bigint>"), "sub-phrases", shelf, batch=ROWS)
         del segments
         release(spark)
 
-        hits = near.mapInArrow(_occurrences(width, levels), "a bigint, rid bigint, o bigint, start bigint, sh bigint").join(phrases, ["a", "sh"])
+        hits = by_arrow(near, _occurrences(width, levels), "a bigint, rid bigint, o bigint, start bigint, sh bigint").join(phrases, ["a", "sh"])
         hits = hits.where(F.array_min("firsts") < F.col("o")).groupBy("rid").agg(F.collect_list(F.struct("start", "firsts")).alias("found"))
         hits = stash(hits, "sub-hits", shelf)
         release(spark)
         lost = marked(near.select("rid", "o", "cls", "text"), marks(hits, "rid"), "rid").join(hits, "rid").select("o", "cls", "text", "found")
-        lost = lost.mapInArrow(_removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
+        lost = by_arrow(lost, _removals(width), "o bigint, cls binary, n_removed bigint, kept_sha256 string, cleaned string")
         lost = stash(lost.where("n_removed > 0"), "sub-lost", batch=FOUND_ROWS)
         del near, phrases, hits, kept
     return own.join(reps, "cls"), lost
@@ -396,10 +396,17 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     own, lost = repeated_words(docs, width)
     lost = lost.select("o", "cls", "cleaned").dropDuplicates(["o", "cls"])
     state = own.groupBy("o", "cls").agg(F.max((F.col("o") > F.col("rep")) & (F.col("n_words") >= width)).alias("copy"))
-    state = state.where("not copy").join(lost, ["o", "cls"], "left").select("o", "cls", "cleaned")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NONE)).alias("o"))
+    touched = stash(state.where("copy").select("o").unionByName(lost.select("o")).distinct(), "sub-touched")
+    bits = marks(touched, "o")  # rows that aren't in it stay as and where they are
     kinds = T.StructType([T.StructField("row", docs.schema, False), T.StructField("o", T.LongType()), T.StructField("cls", T.BinaryType())])
-    rows = docs.select(F.struct("*").alias("row")).mapInArrow(_classes, kinds).join(state, ["o", "cls"])
+    state = state.join(touched, "o", "left_semi").where("not copy").join(lost, ["o", "cls"], "left").select("o", "cls", "cleaned", F.lit(True).alias("there"))
+    maybe = by_arrow(marked(rows, bits, "o").select("row"), _classes, kinds).join(touched.withColumn("hit", F.lit(True)), "o", "left")
+    changed = maybe.join(state, ["o", "cls"], "left").where("hit is null or there")
     was = F.col("row").getField("text")
     text = F.coalesce("cleaned", was)
     columns = {"text": text.alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
-    return rows.where((text != "") | was.isNull() | (was == "")).select(*(columns.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
+    changed = changed.where((text != "") | was.isNull() | (was == "")).select(*(columns.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
+    same = marked(rows, bits, "o", hit=False)
+    columns = {"n_chars": F.length(was).cast("bigint").alias("n_chars")}
+    return same.select(*(columns.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns)).unionByName(changed)
