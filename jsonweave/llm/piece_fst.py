@@ -1,20 +1,24 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled into three transducers, composed when a text is read:
-
-* the normaliser: blanks become the mark U+2581 and a mark is put first (as the model's specification
-  says; only identity character maps are supported);
-* the pieces: one arc a piece, from each place where its characters stand;
-* byte fallback: a character that begins no piece becomes its UTF-8 bytes, one arc a byte.
-
-The ids are the labels of the shortest path in the tropical semiring (min, +). For unigram models an arc
-weighs its piece's negative score, and states are places. For merge-trained (BPE) models that path is
-not what the model encodes: there a state is a place and the last piece, an arc from piece x to y
+A model file is compiled into three transducers, composed with each text as it is read:
+
+* :class:`Normaliser`: an arc a character, along the sources of the character map's rules; where the longest rule
+  ends its target is put out, other characters pass. Blanks become the mark U+2581, runs of them one mark where the
+  model says so, and a mark is put first.
+* :class:`Arcs`, the pieces: from the first state an arc a character along each piece, put out with weight minus
+  its score where it ends, from which the first state is reached again.
+* byte fallback: a character that no piece begins and ends with is an arc of its own, whose labels are its UTF-8
+  bytes (or the unknown piece, a run of which is one label).
+
+The ids are the labels of the shortest path in the tropical semiring (min, +) through the composition: its states are
+a place of the text with a state of the pieces, made as they are reached, and weights add up along a path. For
+unigram models these are the scores, added as 32-bit floats as the model's makers do. For merge-trained (BPE) models
+that path isn't what the model encodes: there a state also has the last piece, an arc from piece x to y
 weighs 0 if merging the characters of xy by score gives just x, y, and infinity otherwise. A
 segmentation is the model's own exactly if all its neighbours agree so, hence one path is finite, and
 each place needs one state: the last piece of the only finite path to it.
 
-No piece has a mark after another character, so every run of marks begins words that are
+In a merge-trained model no piece has a mark after another character, so every run of marks begins words that are
 independent; words are encoded apart and kept in a bounded cache. Work is linear in the text.
 
 Defined cases: null and empty texts have no ids; control characters, unpaired bytes and text that looks
@@ -24,6 +28,7 @@ like a control piece are ordinary text; repeated rows are encoded one by one.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -78,12 +83,122 @@ class _Words(dict):
         return got
 
 
+class Normaliser:
+    """A sequential transducer over characters: arcs along the sources of the rules, their targets where they end."""
+
+    def __init__(self, charsmap: bytes, squeeze: bool, prefix: bool, kept: list[str] = ()):
+        self.squeeze, self.prefix = squeeze, prefix
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.targets: dict[int, str] = {}
+        self.states = 1
+        for source, target in [*_rules(charsmap), *((x, x) for x in kept)]:  # pieces that users define aren't changed
+            state = 0
+            for c in source:
+                state = self._arc(state, c)
+            self.targets[state] = target
+        first = "".join(re.escape(c) for state, c in self.arcs if not state)
+        self.rule = re.compile(f"[{first}]") if first else None
+
+    def _arc(self, state: int, c: str) -> int:
+        if (state, c) not in self.arcs:
+            self.arcs[state, c] = self.states
+            self.states += 1
+        return self.arcs[state, c]
+
+    def _mapped(self, text: str):
+        """What is put out for each longest rule, and for the characters between."""
+        i, arcs, targets = 0, self.arcs, self.targets
+        while i < len(text):
+            m = self.rule.search(text, i) if self.rule else None
+            if m is None:
+                yield text[i:]
+                return
+            if m.start() > i:
+                yield text[i : m.start()]
+                i = m.start()
+            state, j, best, end = 0, i, text[i], i + 1
+            while j < len(text) and (state := arcs.get((state, text[j]))) is not None:
+                j += 1
+                if state in targets:
+                    best, end = targets[state], j
+            yield best
+            i = end
+
+    def __call__(self, text: str) -> str:
+        """The normalised text."""
+        if self.rule:
+            text = "".join(self._mapped(text))
+        if self.squeeze:
+            text = " ".join(x for x in text.split(" ") if x)
+        out = (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
+        return out.rstrip(MARK) if self.squeeze else out  # a mark that ends a text counts as a blank
+
+
+def _rules(charsmap: bytes):
+    """(source, target) of a compiled character map: a double array of 32-bit units, then targets that end with 0."""
+    if not charsmap:
+        return
+    size = int.from_bytes(charsmap[:4], "little")
+    units = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64)
+    strings, every = charsmap[4 + size :], np.arange(1, 256)
+
+    def offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    waiting = [(offset(int(units[0])), b"")]
+    while waiting:
+        at, source = waiting.pop()
+        near = at ^ every
+        near, labels = near[near < len(units)], every[near < len(units)]
+        there = units[near]
+        for k in np.flatnonzero((there & 0x800000FF) == labels).tolist():
+            unit, key = int(there[k]), source + bytes([int(labels[k])])
+            below = int(near[k]) ^ offset(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                yield key.decode(errors="replace"), strings[start : strings.index(b"\0", start)].decode()
+            waiting.append((below, key))
+
+
+class Arcs:
+    """The pieces as a transducer: ``next`` has an arc for each state and character, ``ends`` the piece and its
+    weight at a state where one ends."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.next: dict[tuple[int, str], int] = {}
+        self.ends: dict[int, tuple[int, float]] = {}
+        states = 1
+        for piece, end in pieces.items():
+            state = 0
+            for c in piece:
+                got = self.next.get((state, c))
+                if got is None:
+                    got = self.next[state, c] = states
+                    states += 1
+                state = got
+            self.ends[state] = end
+
+    def paths(self, text: str, start: int):
+        """(end, piece, weight) of the pieces that begin at a place, shortest first."""
+        state, following, ends = 0, self.next, self.ends
+        for j in range(start, len(text)):
+            state = following.get((state, text[j]))
+            if state is None:
+                return
+            if state in ends:
+                yield j + 1, *ends[state]
+
+
+#: Fixed value: how much worse than the worst piece a character without one is.
+UNKNOWN_COST = 10.0
+
+
 class Transducer:
     def __init__(self, raw: bytes):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.merges, self.prefix, self.squeeze = False, True, True
+        charsmap, self.merges, self.prefix, self.squeeze = b"", False, True, True
         for number, value in _fields(raw):
             if number == 1:
                 d = dict(_fields(value))
@@ -91,31 +206,31 @@ class Transducer:
                 self.scores.append(float(np.frombuffer(d.get(2, b"\0\0\0\0"), "<f4")[0]))
                 self.kinds.append(d.get(3, 1))
             elif number == 2:
-                self.merges = dict(_fields(value)).get(3, 1) == 2
+                d = dict(_fields(value))
+                self.merges = d.get(3, 1) == 2
+                if d.get(3, 1) not in (1, 2) or d.get(24, 0):
+                    raise NotImplementedError("models of words or characters, and marks behind words")
             elif number == 3:
                 d = dict(_fields(value))
-                if d.get(2):
-                    raise NotImplementedError("character maps of the normaliser")
-                self.prefix, self.squeeze = bool(d.get(3, 1)), bool(d.get(4, 1))
+                charsmap, self.prefix, self.squeeze = d.get(2, b""), bool(d.get(3, 1)), bool(d.get(4, 1))
+        own = [p for p, k in zip(self.pieces, self.kinds) if k == 4]
+        if own and self.merges:
+            raise NotImplementedError("pieces that users define in a merge-trained model")
+        self.normal = Normaliser(charsmap, self.squeeze, self.prefix, own)
         self.arcs = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (1, 4)}
+        normal = [s for s, k in zip(self.scores, self.kinds) if k == 1]
+        most = max(normal, default=0.0)
+        weights = [-(len(p.encode()) * most - 0.1) if k == 4 else -s for p, k, s in zip(self.pieces, self.kinds, self.scores)]
+        self.machine = Arcs({p: (i, 0.0 if self.merges else weights[i]) for p, i in self.arcs.items()})
+        self.missing = 0.0 if self.merges else UNKNOWN_COST - min(normal, default=0.0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
         self.unknown = self.kinds.index(2)
-        self.open = {p[:i] for p in self.arcs for i in range(1, len(p) + 1)}  # what begins a piece
-        self.apart = not any(MARK in p.lstrip(MARK) for p in self.arcs)
+        self.apart = self.merges and not any(MARK in p.lstrip(MARK) for p in self.arcs)
         self.agree: dict[tuple[int, int], float] = {}
         self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
         self.words, self.parts = _Words(self), {}
         self.shown = {i: bytes([b]) for b, i in self.bytes.items()}
 
-    # normaliser
-
-    def normal(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return (MARK if self.prefix else "") + text.replace(" ", MARK)
-
     # pieces
 
     def merged(self, text: str) -> list[str]:
@@ -132,9 +247,8 @@ class Transducer:
                     gains[i] = scores[k] if k is not None else -INF
         return parts
 
-    def weight(self, before: int, piece: int) -> float:
-        if not self.merges:
-            return -self.scores[piece]
+    def agreement(self, before: int, piece: int) -> float:
+        """Weight of a merge-trained model's arc from one piece to the next."""
         y = self.pieces[piece]
         if before < 0 or before in self.shown:
             ok = self.merged(y) == [y]
@@ -146,39 +260,48 @@ class Transducer:
         self.agree[before, piece] = 0.0 if ok else INF
         return self.agree[before, piece]
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Ids of a normalised text."""
-        n, arcs, begins, merges, agree = len(text), self.arcs, self.open, self.merges, self.agree
+    def fallback(self, c: str) -> list[int]:
+        """Labels of a character without a piece."""
+        return [self.bytes.get(b, self.unknown) for b in c.encode()] if self.bytes else [self.unknown]
+
+    def _relax(self, text: str):
+        """The composition's best way to each place: cost, last piece (-1: fallback), where that begins."""
+        n, merges, agree, paths = len(text), self.merges, self.agree, self.machine.paths
+        add = (lambda x, w: x + w) if merges else (lambda x, w: float(np.float32(np.float32(x) + np.float32(w))))
         cost, last, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            here, before = cost[i], last[i]
+            here, before, single = cost[i], last[i], False
             if here == INF:
                 continue
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                p = arcs.get(part)
-                if p is None:
-                    if part not in begins:
-                        break
-                elif not merges or cost[j]:
-                    w = agree.get((before, p)) if merges else None
+            if merges and back[i] < i and before < 0:
+                before = self.bytes.get(0, self.unknown)  # after a character without a piece
+            for j, piece, w in paths(text, i):
+                single |= j == i + 1
+                if merges:
+                    if not cost[j]:
+                        continue
+                    w = agree.get((before, piece))
                     if w is None:
-                        w = self.weight(before, p)
-                    if here + w < cost[j]:
-                        cost[j], last[j], back[j] = here + w, p, i
-            if text[i] not in arcs and (c := here + (0.0 if merges else 1e6)) < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = c, self.bytes.get(0, self.unknown), i
-        out: list[int] = []
-        j = n
+                        w = self.agreement(before, piece)
+                if (total := add(here, w)) < cost[j]:
+                    cost[j], last[j], back[j] = total, piece, i
+            if not single and (total := add(here, self.missing)) < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = total, -1, i
+        return cost, last, back
+
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids of a normalised text."""
+        _, last, back = self._relax(text)
+        out: list[list[int]] = []
+        j = len(text)
         while j:
             i = back[j]
-            if text[i:j] in arcs:
-                out.append(last[j])
-            else:
-                out += [self.bytes.get(b, self.unknown) for b in reversed(text[i:j].encode())] if self.bytes else [self.unknown]
+            own = self.fallback(text[i]) if last[j] < 0 else [last[j]]
+            if not (out and own == out[-1] == [self.unknown]):  # a run of unknown characters is one label
+                out.append(own)
             j = i
-        return out[::-1]
+        return [x for own in reversed(out) for x in own]
 
     def _word(self, word: str) -> bytes:
         """Ids of marks and what follows them. No piece has a pair of neighbours outside ``inner``: cuts there are safe."""
@@ -199,7 +322,7 @@ class Transducer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        text = self.normal(text or "")
+        text = self.normal((text or "").encode(errors="replace").decode())
         if not text:
             return b""
         if not self.apart:
