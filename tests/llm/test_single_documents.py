@@ -176,19 +176,34 @@ def test_licenses(spark):
     texts = [notice, f"some words before\n{notice.upper()}\nand after", f"inline {notice} follows", "nothing here at all", None, "", "license", " ".join(notice.split()[:3]), "x " * 5000 + notice]
     got = [r["license"] for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
     assert got == [name, name, name, None, None, None, None, None, name]
-    r = random.Random(3)
+    from jsonweave.llm.licenses import Scanner, templates
+
+    r, scanner = random.Random(3), Scanner(templates(), 0.8)
     words = " ".join(t for ts in TEMPLATES.values() for t in ts).split() + ["foo", "bar"]
     for _ in range(40):
-        text = " ".join(r.choice(words) for _ in range(3)) + " " + " ".join(TEMPLATES["MIT"][0].split()[: r.randrange(1, 6)]) + " " + r.choice(words)
+        text = " ".join(r.choice(words) for _ in range(3)) + " " + " ".join(TEMPLATES["MIT"][0].split()[: r.randrange(1, 6)]) + r.choice([" ", "\n"]) + r.choice(words)
         pairs = bigrams(normal(text))
         best = 0.0
-        for form in TEMPLATES["MIT"]:
+        for form in templates()["MIT"]:
             b = bigrams(normal(form))
-            best = max([best, dice(set(pairs), set(b)), *(dice(set(pairs[i : i + len(b)]), set(b)) for i in range(len(pairs)))])
-        from jsonweave.llm.licenses import Scanner
-
-        found = Scanner(TEMPLATES, 0.8).scan(text).get("MIT", 0.0)
-        assert found == (best if best >= 0.8 else 0.0)
+            lines = [bigrams(normal(x)) for x in text.split("\n")]
+            windows = [pairs[i : i + len(b)] for i in range(max(1, len(pairs) - len(b) + 1))]
+            best = max([best, *(dice(collections.Counter(p), collections.Counter(b)) for p in [pairs, *lines, *windows])])
+        found = scanner.scan(text).get("MIT", (0, 0.0))[1]
+        assert found == pytest.approx(best if best >= 0.8 else 0.0)
+
+
+def test_whole_licences():
+    """Whole files, with a header, cut short or changed a little, are found; prose isn't."""
+    from jsonweave.llm.licenses import Scanner, templates
+
+    scanner = Scanner(templates(), 0.8)
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC", "CC0-1.0"):
+        text = templates()[name][-1]
+        for changed in ("Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + text, text.upper().replace("\n", " "), "word " * 400 + text + " more" * 300, text[: int(len(text) * 0.95)]):
+            found = scanner.scan(changed)
+            assert found[name][1] > 0.9 and max(sorted(found), key=found.get) == name, name
+    assert scanner.scan("the rights of the people and the use of the word in this work for any purpose " * 40) == {}
 
 
 def _cheapest(roles, c):
