@@ -8,24 +8,28 @@ own before a merge, then the roles in the order system, user, assistant.
 
 A turn is a matrix of costs between the automaton's four states, and turns compose by the (min, +)
 product. So a conversation of any length is worked on in chunks of ``CHUNK`` turns, cut from one global
-order of turns: each chunk's product is found apart, products of a conversation are composed in order
-(one row for thousands of turns), and each chunk is then repaired between its known states. No task
-holds a whole conversation, and each turn is rendered where it is.
+order of turns. A conversation that lies in one chunk is repaired there; the others, which stand at the edges of
+chunks, two a chunk at most, become a product each chunk, and products of a conversation are composed in order
+(one row for thousands of turns), which gives the states between which each chunk repairs its part. No task
+holds a whole conversation, and Python sees roles only: texts are rendered where they are, by native columns.
 
 Defined cases: roles are trimmed and lower-cased, null and unknown ones cost ``relabel`` whatever they
 become; null text is empty; turns are ordered by turn (nulls first), then role and text, so ties and
 repeated rows have a fixed order and are all kept; rows without conv_id are one conversation; the
-markers of the template are broken up where they occur in a text.
+markers of the template are broken up where they occur in a text. conv_id and turn may have any type that can be put
+in order; an empty table gives an empty table; very long texts never leave the JVM; further columns aren't looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions, stash
 
@@ -98,65 +102,85 @@ def _empty(roles) -> str:
     return "".join(f"{OPEN}{r}\n{CLOSE}\n" for r in roles)
 
 
+def compose(products: list[list[float]], c: Costs) -> tuple[list[int], float]:
+    """The states before, between and after the parts of a conversation on its cheapest repair, and its cost."""
+    ways = [[0.0, INF, INF, INF]]
+    for m in products:
+        ways.append([min(ways[-1][s] + m[4 * s + t] for s in range(4)) for t in range(4)])
+    s = min(range(4), key=lambda t: (ways[-1][t] + len(ending(t)) * c.insert, -t))
+    total, states = ways[-1][s] + len(ending(s)) * c.insert, [s]
+    for m, way in zip(products[::-1], ways[-2::-1]):
+        s = min(range(4), key=lambda t: (way[t] + m[4 * t + states[-1]], t))
+        states.append(s)
+    return states[::-1], total
+
+
+def _parts(table: pa.Table) -> tuple[list, list, list, list[tuple[int, int]]]:
+    """A chunk's conversations, roles and positions in order, and where each conversation begins and ends in it."""
+    table = table.sort_by("position")
+    convs, roles, positions = (table.column(x).to_pylist() for x in ("conv_id", "r", "position"))
+    edge = [0, *(i for i in range(1, len(convs)) if convs[i] != convs[i - 1]), len(convs)]
+    return convs, roles, positions, list(pairwise(edge))
+
+
+def _decide(roles: list[str], enter: int, leave: int, last: bool, c: Costs) -> Iterator[tuple[str, str, int, str, str]]:
+    """(new role, action, inserted, what stands before the text, what after) of each turn."""
+    begun = enter != START
+    for i, (r, (new, before, merged)) in enumerate(zip(roles, repair(roles, enter, leave, c))):
+        head = "\n\n" if merged else f"{CLOSE}\n" * begun + _empty(before) + f"{OPEN}{new}\n"
+        begun = True
+        after = ending(leave) if last and i == len(roles) - 1 else ()
+        tail = f"{CLOSE}\n" + _empty(after) if last and i == len(roles) - 1 else ""
+        action = "+".join(x for x, y in (("merge", merged), ("relabel", new != r)) if y) or "keep"
+        yield new, action, len(before) + len(after), head, tail
+
+
 def format_conversations(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Per turn: conv_id, position (order of all turns), turn, role, new_role, action, inserted, rendered, conv_cost.
 
     ``rendered`` has the empty turns put in before and, with the last turn, after it; a conversation's
     text is its turns' in order of position.
     """
-    spark = turns.sparkSession
+    spark, conv = turns.sparkSession, turns.schema["conv_id"].dataType
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     rows = turns.select("conv_id", "turn", "role", role.alias("r"), F.coalesce("text", F.lit("")).alias("text"))
     key = ["conv_id", "turn", "r", "text"]
     rows = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
     rows = stash(rows.withColumn("position", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("position", CHUNK_BITS)), "chat-turns")
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        out = [(None if pd.isna(k) else int(k), int(g.chunk.iloc[0]), product(g.r.tolist(), costs)) for k, g in pdf.groupby("conv_id", dropna=False, sort=False)]
-        return pd.DataFrame(out, columns=["conv_id", "chunk", "m"]).astype({"conv_id": "Int64"})
-
-    products = rows.select("conv_id", "r", "position", "chunk").groupBy("chunk").applyInPandas(summarise, "conv_id bigint, chunk bigint, m array<double>")
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        ways = [[0.0, INF, INF, INF]]
-        for m in pdf.m:
-            ways.append([min(ways[-1][s] + m[4 * s + t] for s in range(4)) for t in range(4)])
-        s = min(range(4), key=lambda t: (ways[-1][t] + len(ending(t)) * costs.insert, -t))
-        total, states = ways[-1][s] + len(ending(s)) * costs.insert, [s]
-        for m, way in zip(list(pdf.m)[::-1], ways[-2::-1]):
-            s = min(range(4), key=lambda t: (way[t] + m[4 * t + states[-1]], t))
-            states.append(s)
-        states.reverse()
-        last = [False] * (len(pdf) - 1) + [True]
-        return pd.DataFrame({"conv_id": pdf.conv_id.astype("Int64"), "chunk": pdf.chunk, "enter": states[:-1], "leave": states[1:], "last": last, "conv_cost": total})
-
-    states = products.groupBy("conv_id").applyInPandas(compose, "conv_id bigint, chunk bigint, enter int, leave int, last boolean, conv_cost double")
-    known = rows.alias("x").join(states.alias("s"), F.col("x.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("x.chunk") == F.col("s.chunk")))
-    known = known.select("x.*", "s.enter", "s.leave", "s.last", "s.conv_cost")
-
-    def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
+    roles = rows.select("conv_id", "r", "position", "chunk")
+    conv_field = T.StructField("conv_id", conv)
+    long = T.LongType()
+
+    def at_edges(table: pa.Table) -> pa.Table:
+        convs, own, _, parts = _parts(table)
+        chosen = parts if len(parts) < 3 else [parts[0], parts[-1]]
+        return pa.table([pa.array([convs[a] for a, _ in chosen], table.schema.field("conv_id").type), pa.array([table.column("chunk")[0].as_py()] * len(chosen), pa.int64()), pa.array([product(own[a:b], costs) for a, b in chosen], pa.list_(pa.float64()))], ["conv_id", "chunk", "m"])
+
+    edges = roles.groupBy("chunk").applyInArrow(at_edges, T.StructType([conv_field, T.StructField("chunk", long), T.StructField("m", T.ArrayType(T.DoubleType()))]))
+
+    def between(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        states, total = compose(table.column("m").to_pylist(), costs)
+        n = table.num_rows
+        return pa.table([table.column("conv_id"), table.column("chunk"), pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32()), pa.array([False] * (n - 1) + [True]), pa.array([total] * n, pa.float64())], ["conv_id", "chunk", "enter", "leave", "last", "cost"])
+
+    known = T.StructType([conv_field, T.StructField("chunk", long), *(T.StructField(x, T.IntegerType()) for x in ("enter", "leave")), T.StructField("last", T.BooleanType()), T.StructField("cost", T.DoubleType())])
+    states = edges.groupBy("conv_id").applyInArrow(between, known)  # conversations at edges of chunks only
+    states = states.groupBy("chunk").agg(F.collect_list(F.struct("conv_id", "enter", "leave", "last", "cost")).alias("known"))  # two a chunk
+
+    def decide(table: pa.Table) -> pa.Table:
+        edge = {x["conv_id"]: (x["enter"], x["leave"], x["last"], x["cost"]) for x in table.column("known")[0].as_py() or ()}
+        convs, own, positions, parts = _parts(table)
         out = []
-        for _, g in pdf.groupby("conv_id", dropna=False, sort=False):
-            enter, leave, last, cost = int(g.enter.iloc[0]), int(g.leave.iloc[0]), bool(g["last"].iloc[0]), float(g.conv_cost.iloc[0])
-            fixed = repair(g.r.tolist(), enter, leave, costs)
-            begun = enter != START
-            for i, (row, (new, before, merged)) in enumerate(zip(g.itertuples(index=False), fixed)):
-                text = row.text.replace("<|", "< |")
-                if merged:
-                    piece = "\n\n" + text
-                else:
-                    piece = f"{CLOSE}\n" * begun + _empty(before) + f"{OPEN}{new}\n{text}"
-                begun = True
-                after = ending(leave) if last and i == len(g) - 1 else ()
-                if last and i == len(g) - 1:
-                    piece += f"{CLOSE}\n" + _empty(after)
-                action = "+".join(x for x, y in (("merge", merged), ("relabel", new != row.r)) if y) or "keep"
-                out.append((row.conv_id, row.position, row.turn, row.role, new, action, len(before) + len(after), piece, cost))
-        names = ["conv_id", "position", "turn", "role", "new_role", "action", "inserted", "rendered", "conv_cost"]
-        return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64", "turn": "Int64"})
-
-    kinds = "conv_id bigint, position bigint, turn bigint, role string, new_role string, action string, inserted int, rendered string, conv_cost double"
-    return known.groupBy("chunk").applyInPandas(render, kinds)
+        for a, b in parts:
+            if convs[a] in edge:
+                enter, leave, last, cost = edge[convs[a]]
+            else:
+                (enter, leave), cost, last = *compose([product(own[a:b], costs)], costs), True
+            out += [(p, *x, cost) for p, x in zip(positions[a:b], _decide(own[a:b], enter, leave, last, costs))]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["position", "new_role", "action", "inserted", "head", "tail", "conv_cost"])
+
+    told = roles.join(states, "chunk", "left").groupBy("chunk").applyInArrow(decide, "position bigint, new_role string, action string, inserted int, head string, tail string, conv_cost double")
+    text = F.concat("head", F.replace("text", F.lit("<|"), F.lit("< |")), "tail")
+    return rows.join(told, "position").select("conv_id", "position", "turn", "role", "new_role", "action", "inserted", text.alias("rendered"), "conv_cost")

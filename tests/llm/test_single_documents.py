@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from jsonweave.llm import queries, sql
-from jsonweave.llm.chat import Costs, choices, ending, format_conversations
+from jsonweave.llm.chat import Costs, format_conversations
 from jsonweave.llm.fingerprint import EXACT, combine, elements, fingerprint_report, lanes_of
 from jsonweave.llm.langid import language_filter, language_report
 from jsonweave.llm.licenses import TEMPLATES, bigrams, dice, normal, scan_licenses
@@ -67,8 +68,6 @@ def test_fingerprints(hard):
 
 
 def test_fingerprints_are_homomorphic(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(1, "a b c d\ne f g"), (2, "e f g\n\na b c d"), (3, "a b c d"), (4, "e f g"), (5, "a b c d\na b c d")], "id bigint, t string")
     got = {r["id"]: r["lanes"] for r in lanes_of(rows, ["id"], "t").collect()}
     assert got[1] == got[2] != got[3] and len({tuple(v) for v in got.values()}) == 4
@@ -207,14 +206,25 @@ def test_whole_licences():
 
 
 def _cheapest(roles, c):
-    best = {0: 0.0}
+    """By trying all repairs as words over roles, with the legal ones told by an expression: nothing is the operator's own."""
+    legal, begun = re.compile("s?(ua)+"), re.compile("(s|su|s?(ua)+|s?(ua)*u)?")
+    best = {"": 0.0}  # what a repair has so far -> its cost
+    short = lambda w: w[:1] * w.startswith("s") + ("ua" if "ua" in w else "") + ("u" if w.endswith("u") else "") if len(w) > 3 else w
     for r in roles:
         nxt = {}
-        for s, cost in best.items():
-            for d, q, *_ in choices(s, r, c):
-                nxt[q] = min(nxt.get(q, 1e9), cost + d)
+        for word, cost in best.items():
+            for inserted in ("", "u", "a", "ua", "au", "s", "su", "sua"):
+                for new in "sua":
+                    w = word + inserted + new
+                    if begun.fullmatch(w):
+                        price = cost + c.insert * len(inserted) + c.relabel * (not r or r != {"s": "system", "u": "user", "a": "assistant"}[new])
+                        nxt[short(w)] = min(nxt.get(short(w), 1e9), price)
+            if word:
+                price = cost + c.merge + c.relabel * (r != {"s": "system", "u": "user", "a": "assistant"}[word[-1]])
+                nxt[word] = min(nxt.get(word, 1e9), price)
         best = nxt
-    return min(v + c.insert * len(ending(s)) for s, v in best.items())
+    ends = [cost + c.insert * len(x) for word, cost in best.items() for x in ("", "a", "ua", "u") if legal.fullmatch(word + x)]
+    return min(ends)
 
 
 def test_chat(spark, monkeypatch):
@@ -236,3 +246,12 @@ def test_chat(spark, monkeypatch):
         assert re.fullmatch("s?(ua)+", "".join(a[0] for a, _ in cut))
         assert turns[0]["conv_cost"] == _cheapest([(x["role"] or "").strip().lower() for x in turns], Costs())
     assert all(x["action"] == "keep" for x in got[77]) and format_conversations(df.where("false")).count() == 0
+
+
+def test_chat_ids_of_other_types_long_texts_and_further_columns(spark):
+    rows = [("b", "1", "user", "x" * 300_000, 1), ("b", "2", "bot", None, 1), (None, "1", "assistant", "<|im_end|>", 1), ("a", None, "user", "é", 1)]
+    df = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string, position int").withColumns({c: F.lit("z") for c in ("chunk", "r", "m", "known", "head", "a.b")})
+    got = {(x["conv_id"], x["turn"]): x for x in format_conversations(df).collect()}
+    assert len(got) == 4 and got["b", "2"]["action"] in ("relabel", "merge+relabel") and got["b", "1"]["rendered"].count("x") == 300_000
+    assert got[None, "1"]["rendered"] == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n< |im_end|><|im_end|>\n" and got[None, "1"]["conv_cost"] == 2.0
+    assert got["a", None]["rendered"].endswith("é<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
