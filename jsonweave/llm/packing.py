@@ -8,8 +8,10 @@ the two unpacked pieces that fill the widened gap best, if they fill it better.
 laid at once, as often as their pieces last, so planning takes steps in proportion to the makes.
 
 Pieces then find their place by rank within their length: ranks are given in parallel, over blocks of
-a length's pieces, so a length that a third of all pieces have is no hot group. Texts are never
-shuffled; a piece is a row of seven numbers.
+a length's pieces, as many as it takes for some 2**17 pieces each, so a length that a third of all pieces have is
+no hot group. What is broadcast has a row for each of ``capacity`` lengths, for each block, and for each run of
+equal bins (some thousands, for they are as few as the ways lengths run out). Texts are never shuffled; a piece is a
+row of seven numbers.
 
 Defined cases: null text counts as empty (one end id); repeated rows are packed one by one; an empty
 table gives an empty result; very long texts are cut into as many pieces as it takes.
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import by_arrow, stash
 from .tokens import pieces
 
-RANK_BLOCKS = 64
+#: Pieces of one length that are ranked in one group, about.
+RANKED = 1 << 17
 STEP = 256
 
 
@@ -127,9 +130,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     rows = stash(
         by_arrow(docs.select("doc_id", "text"), cut_documents(tokenizer, capacity, end_id, plain), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"),
         "pack-pieces",
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BLOCKS)).cast("int"))
-    counts = rows.groupBy("length", "block").agg(F.count("*").alias("n"))  # capacity * RANK_BLOCKS rows at most
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    )
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    blocks = F.array(*(F.lit(-(-histogram.get(i, 1) // RANKED)) for i in range(capacity + 1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(blocks, F.col("length").cast("int")).cast("bigint")).cast("int"))
+    counts = rows.groupBy("length", "block").agg(F.count("*").alias("n"))  # capacity + pieces / RANKED rows at most
     plan = places(plan_bins(histogram, capacity))
     kind = "array<struct<length:bigint,lo:bigint,hi:bigint,base:bigint,offset:bigint>>"
     plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), kind)).alias("p")).select("p.*")

@@ -67,6 +67,44 @@ def test_fingerprints(hard):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_likeness_is_the_cosine_of_the_sketches_and_follows_the_contents(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(300)]
+    rows = []
+    for i in range(40):  # ever more of the text replaced
+        own = [r.choice(words) if r.random() < i / 40 else w for w in base]
+        rows.append((100 - i, "\n".join(" ".join(own[k : k + 30]) for k in range(0, 300, 30))))
+    df = spark.createDataFrame([*rows, (1, ""), (0, None)], "doc_id bigint, text string")
+    by_id = {x["doc_id"]: x for x in fingerprint_report(df).collect()}
+    order = sorted(((i, t or "") for i, t in [*rows, (1, ""), (0, None)]), reverse=True)
+    texts = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        texts += [(i, 0, t), (i, 1, t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]), (i, 2, nxt)]
+    lanes = {(x["i"], x["k"]): np.array(x["lanes"], float) for x in lanes_of(spark.createDataFrame(texts, "i bigint, k int, t string"), ["i", "k"], "t").collect()}
+
+    def cosine(a, b):
+        if (a == b).all():
+            return 1.0
+        a, b = a[EXACT:], b[EXACT:]
+        size = np.sqrt((a @ a) * (b @ b))
+        return min(1.0, max(0.0, a @ b / size)) if size else 0.0
+
+    def runs(t):
+        return collections.Counter(tuple(w[k : k + 3]) for line in t.split("\n") for w in [line.split()] for k in range(len(w) - 2))
+
+    errors = []
+    by_text = {(i, k): t for i, k, t in texts}
+    for i, _ in order:
+        for k, name in ((1, "near_edited"), (2, "near_next")):
+            assert by_id[i][name] == pytest.approx(cosine(lanes[i, 0], lanes[i, k]), abs=1e-12)
+            x, y = runs(by_text[i, 0]), runs(by_text[i, k])
+            if x and y:
+                true = sum(x[w] * y[w] for w in x) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+                errors.append(by_id[i][name] - true)
+    assert np.abs(errors).mean() < 0.15 and max(map(abs, errors)) < 0.6
+
+
 def test_fingerprints_are_homomorphic(spark):
     rows = spark.createDataFrame([(1, "a b c d\ne f g"), (2, "e f g\n\na b c d"), (3, "a b c d"), (4, "e f g"), (5, "a b c d\na b c d")], "id bigint, t string")
     got = {r["id"]: r["lanes"] for r in lanes_of(rows, ["id"], "t").collect()}
@@ -121,8 +159,8 @@ def test_packing(hard):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    rows = pack(hard, BPE, 256).collect()
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids[2] == 50256 and hard.where("text like '%<|endoftext|>%'").count() > 0
+    rows = pack(hard, BPE, 256, plain=False).collect()
     ids = collections.Counter()
     for r in hard.collect():
         x = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
