@@ -51,6 +51,20 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None):
+    """Arrow batches of ``rows`` rows in what runs meanwhile; None leaves the session's setting."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if rows:
+        spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.set(setting, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     at, files = _path(spark, path)
     files.delete(at, True)
@@ -66,15 +80,8 @@ def stash(df: DataFrame, name: str, shelf: list[str] | None = None, batch: int |
         shelf.append(path)
     at, files = _path(spark, path)
     files.deleteOnExit(at)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    if batch:
-        spark.conf.set(setting, str(batch))
-    try:
+    with arrow_batches(spark, batch):
         df.write.parquet(path)
-    finally:
-        if batch:
-            spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

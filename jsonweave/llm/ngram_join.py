@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, by_arrow, drop, marked, marks, release, shuffle_partitions, stash
+from .common import Shelf, arrow_batches, by_arrow, drop, marked, marks, release, shuffle_partitions, stash
 from .components import connected_components
 from .textnum import U, Words, column_words, mix
 
@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    crowding = by_arrow(docs, _crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
+    with arrow_batches(spark, 2000):
+        crowding = by_arrow(docs, _crowding(n), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[crowding.column("bucket").to_numpy()] = crowding.column("c").to_numpy()
     levels = _levels(counts)

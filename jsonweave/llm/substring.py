@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, by_arrow, marked, marks, release, shuffle_partitions, stash
+from .common import Shelf, arrow_batches, by_arrow, marked, marks, release, shuffle_partitions, stash
 from .ngram_join import BUCKET_BITS, _bucket
 from .textnum import U, Words, column_words, mix
 
@@ -336,7 +336,8 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     parts = 2 * shuffle_partitions(spark)
     own = stash(by_arrow(docs, _summaries, "doc_id bigint, o bigint, n_words bigint, cls binary, sha string"), "sub-own", batch=ROWS)
     reps = own.groupBy("cls").agg(F.min("o").alias("rep"))
-    crowding = by_arrow(docs, _crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
+    with arrow_batches(spark, ROWS):
+        crowding = by_arrow(docs, _crowding(width), "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # 2**18 rows at most
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[crowding.column("bucket").to_numpy()] = crowding.column("c").to_numpy()
     levels = crowded_buckets(counts)
