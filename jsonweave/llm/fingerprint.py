@@ -17,6 +17,9 @@ with one exchange of the texts over ordered buckets; repeated ids are ordered by
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,24 +94,37 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (uid, doc_id, text, next_text, next_uid); the next row by descending doc_id, the last's is the first.
 
-    Rows go to ordered buckets of about equal size (quantiles of doc_id); within one, a window finds
-    the next row. Each bucket also gets the first row of the bucket after it, so texts move once.
+    Rows go to ordered buckets of about equal size (quantiles of doc_id; a doc_id that fills several of them, and rows
+    without one, are cut by text hash); within one, a window finds the next row. Each bucket also gets the first
+    row of the bucket after it, so texts move once.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("xx", F.xxhash64("text"))
     wanted = min(MAX_BUCKETS, max(8, 2 * shuffle_partitions(spark)))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 100 * wanted)).head()[0]
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))).cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(wanted)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id"))))
+    found = rows.agg(
+        F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 100 * wanted).alias("cuts"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.count("*").alias("n")
+    ).head()
+    often = Counter(found["cuts"] or [])
+    values = sorted(often, reverse=True)  # a bucket ends with its value: v[k] <= doc_id < v[k - 1]
+    parts = [often[v] if often[v] > 1 else 0 for v in values] + [0]
+    starts = list(accumulate((1 + m for m in parts), initial=0))
+    of_nulls = max(1, -(-found["nulls"] * wanted // max(1, found["n"])))
+    number = starts[-1] + of_nulls
+    at = lambda xs: F.element_at(F.array(*(F.lit(x).cast("bigint") for x in xs)), F.size(F.filter(bounds, lambda b: b > F.col("doc_id"))) + 1)
+    bounds = F.array(*(F.lit(v) for v in values)).cast("array<bigint>")
+    share = (F.shiftright("xx", 1) + F.lit(1 << 62)) / F.lit(float(1 << 63))  # of the order by hash, from 0 to 1
+    part = lambda m: F.least(F.floor(share * m), m - 1).cast("bigint")
+    own = at(starts[:-1]) + F.when((at(parts) > 0) & (F.col("doc_id") == at([*values, None])), 1 + part(at(parts))).otherwise(F.lit(0))
+    bucket = F.when(F.col("doc_id").isNull(), starts[-1] + part(F.lit(of_nulls))).otherwise(own).cast("int")
     rows = rows.withColumn("bucket", bucket)
-    # one row a bucket, MAX_BUCKETS at most: its first row by the order
+    # one row a bucket, 3 * MAX_BUCKETS at most: its first row by the order
     heads = sorted(
         rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), (-F.shiftright("xx", 1)).alias("x"))).alias("top")).select("bucket", "top.*").collect(),
         key=lambda r: r["bucket"],
     )
     if not heads:
         return rows.select(F.lit(0).cast("bigint").alias("uid"), "doc_id", "text", F.col("text").alias("next_text"), F.lit(0).cast("bigint").alias("next_uid"))
-    top = [[None, None, None] for _ in range(wanted + 1)]
+    top = [[None, None, None] for _ in range(number)]
     for i, r in enumerate(heads):
         top[r["bucket"]] = [r["doc_id"], r["x"], heads[i - 1]["bucket"]]
     column = lambda k: F.element_at(F.array(*(F.lit(x[k]).cast("bigint") for x in top)), F.col("bucket") + 1)

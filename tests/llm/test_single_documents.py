@@ -67,6 +67,19 @@ def test_fingerprints(hard):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_the_next_document_where_ids_repeat_or_are_missing(spark):
+    from jsonweave.llm.fingerprint import with_next
+
+    rows = [(7, f"t{i}") for i in range(300)] + [(None, f"n{i}") for i in range(200)] + [(i, f"u{i}") for i in range(100, 160)] + [(3, "same")] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.xxhash64("text"))
+    got = with_next(df).collect()
+    order = sorted(((-(2**62) if r["doc_id"] is None else r["doc_id"], -(r["h"] >> 1), r["text"]) for r in df.collect()), reverse=True)
+    want = sorted((a[2], b[2]) for a, b in zip(order, order[1:] + order[:1]))
+    assert sorted((r["text"], r["next_text"]) for r in got) == want
+    by_uid = {r["uid"]: r["text"] for r in got}
+    assert all(by_uid[r["next_uid"]] == r["next_text"] for r in got) and len(by_uid) == len(rows)
+
+
 def test_likeness_is_the_cosine_of_the_sketches_and_follows_the_contents(spark):
     r = random.Random(8)
     words = [f"w{i}" for i in range(400)]
