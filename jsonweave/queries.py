@@ -403,6 +403,13 @@ def _(spark, sf):
     return spark.range(1).select(F.lit(n).cast("bigint").alias("n"))
 
 
+@_query("scaled_source", "SELECT count(*) * 4 AS n, (sum(round(o_totalprice)::BIGINT) * 4)::BIGINT AS s, (max(o_orderkey) + 1) * 4 - 1 AS last FROM orders")
+def _(spark, sf):
+    """The same records four times over under new keys in sequence."""
+    got = _read(spark, sf, "scaled_doc", "$.orders[*]", partitioning="speculation")
+    return got.agg(F.count_distinct("o_orderkey").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("s"), F.max("o_orderkey").alias("last"))
+
+
 @_query("parquet_sink", f"SELECT {ORDER} FROM orders WHERE o_totalprice > 200000")
 def _(spark, sf):
     out = f"{shared_dir(spark)}/sink-{short(sf)}"

@@ -44,6 +44,18 @@ def orders_jsonl(spark, sf, path):
     _orders(spark, sf).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
+TIMES = 4
+
+
+def scaled_doc(spark, sf, path):
+    """The orders TIMES times over, with new keys in sequence, in one document that begins as the plain one."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    n = o.agg(F.max("o_orderkey")).head()[0] + 1
+    rows = o.crossJoin(spark.range(TIMES)).withColumn("o_orderkey", F.col("o_orderkey") + F.col("id") * n).drop("id")
+    rows = rows.select(F.col("o_orderkey").alias("k"), F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice")).alias("json"))
+    _document(rows, '{"total": 1, "partial": false, "orders": [', "]}").coalesce(1).write.mode("overwrite").text(path)
+
+
 def customers_dir(spark, sf, path):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     for i in range(3):
@@ -110,7 +122,7 @@ def types_doc(spark, sf, path):
     spark.range(1).select(F.lit(json.dumps({"rows": TYPES})).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-BUILDERS: dict[str, Callable] = {f.__name__: f for f in (orders_doc, orders_jsonl, customers_dir, sites_doc, catalogue, mixed_doc, events_jsonl, docs_doc, types_doc)}
+BUILDERS: dict[str, Callable] = {f.__name__: f for f in (orders_doc, orders_jsonl, scaled_doc, customers_dir, sites_doc, catalogue, mixed_doc, events_jsonl, docs_doc, types_doc)}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> str:

@@ -24,7 +24,8 @@ SAMPLE = 1000
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """``partitioning``: 'fullPass' (exact split), 'speculation', or 'whole' (a file a task; any encoding).
+    """``partitioning``: 'fullPass' (exact split), 'speculation', or 'whole' (a file a task; taken for encodings of
+    several bytes a character, but for UTF-8).
     ``schema_builder``: 'start' (columns of the first 1000 matches; what
     decides over matches is typed by all records) or 'fullPass' (all of all records). ``schema``: of a record of the
     split, or of the rows if the path ends there. ``mode``: PERMISSIVE or FAILFAST."""
@@ -110,10 +111,11 @@ def _whole_files(spark: SparkSession, path, keys: list[str], array: bool, o: Rea
 
 
 def split_records(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions) -> DataFrame:
-    if o.partitioning == "whole" or o.encoding.upper().replace("-", "") != "UTF8":
+    utf8 = o.encoding.upper().replace("-", "") == "UTF8"
+    if o.partitioning == "whole" or not (utf8 or splitter.single_byte(o.encoding)):
         return _whole_files(spark, path, keys, array, o)
-    begin = _begin(spark, path, keys, array, o) if o.partitioning == "speculation" else None
-    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin)
+    begin = _begin(spark, path, keys, array, o) if o.partitioning == "speculation" and utf8 else None
+    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin, o.encoding)
 
 
 _BEGIN = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:', re.S)

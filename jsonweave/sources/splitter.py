@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -278,11 +279,34 @@ def _blocks(batches):
         yield (*key, b"".join(parts), True)
 
 
-def fragments(spark: SparkSession, path, glob: str | None, recursive: bool, separator: str = "}") -> DataFrame:
+@cache
+def single_byte(encoding: str) -> tuple[str, str] | None:
+    """Characters of the upper 128 bytes as ISO-8859-1 has them, those that mean nothing last, and what they are in
+    ``encoding``; None if that isn't a superset of ASCII with a byte a character."""
+
+    def read(*b: int) -> str:
+        return bytes(b).decode(encoding, errors="ignore")
+
+    try:
+        each = {b: read(b) for b in range(256)}
+    except (UnicodeError, LookupError):
+        return None
+    if any(each[b] != chr(b) for b in range(128)) or any(read(b, c) != each[b] + each[c] for b in range(128, 256) for c in range(0x30, 256)):
+        return None
+    upper = sorted(range(128, 256), key=lambda b: not each[b])
+    return "".join(map(chr, upper)), "".join(each[b] for b in upper)
+
+
+def fragments(spark: SparkSession, path, glob: str | None, recursive: bool, separator: str = "}", encoding: str = "UTF-8") -> DataFrame:
+    """(file, block, value): the text between separators. In encodings of one byte a character, bytes are cut at the same
+    places, and decoded natively (a byte that means nothing is left out)."""
     reader = spark.read.option("lineSep", separator).option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    value = F.col("value")
+    if encoding.upper().replace("-", "") != "UTF8":
+        value = F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), *single_byte(encoding)).alias("value")
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), value)
 
 
 EDGES = "file string, block bigint, known int, k int, n bigint, head string, tail string, whole boolean"
@@ -402,15 +426,15 @@ def _records(target: list[tuple], states: dict | None):
 SCHEMA = "file string, block bigint, n bigint, place string, text string"
 
 
-def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", begin: str | None = None) -> DataFrame:
+def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", begin: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """(file, block, n, text): the records, n counting from 1 in each block (speculation: growing in each). ``begin``: what all
     records begin with, for speculation."""
     target = target_stack(keys, array)
-    if strategy == "speculation" and (begin or not array):
+    if strategy == "speculation" and (begin or not array) and encoding.upper().replace("-", "") == "UTF8":
         found = _speculated(spark, path, target, glob, recursive, begin) if array else _lines(spark, path, glob, recursive)
         if found is not None:
             return found
-    parts = fragments(spark, path, glob, recursive)
+    parts = fragments(spark, path, glob, recursive, encoding=encoding)
     edges = keep(parts.mapInArrow(_edges(target), EDGES), "edges")
     told = edges.where("known = -1").select("file", "block", "head").toArrow()
     plan = fold(list(zip(*(told.column(i).to_pylist() for i in range(3)))), target)

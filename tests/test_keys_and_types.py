@@ -123,3 +123,13 @@ def test_json_lines_by_speculation(spark, tmp_path):
     assert "MapInArrow" not in read()._jdf.queryExecution().executedPlan().toString()
     (tmp_path / "b.json").write_text(json.dumps({"i": 30}, indent=1) + json.dumps({"i": 31}))
     assert sorted(r["i"] for r in read().collect()) == list(range(32))
+
+
+@pytest.mark.parametrize("encoding", ["ISO-8859-1", "cp1252", "ISO-8859-15"])
+def test_encodings_of_a_byte_a_character_are_split(spark, tmp_path, encoding):
+    rows = [{"i": i, "t": "né€Šß}{"[: 1 + i % 7].encode(encoding, errors="replace").decode(encoding)} for i in range(200)]
+    (tmp_path / "a.json").write_bytes(json.dumps({"r": rows}, ensure_ascii=False).encode(encoding))
+    got = read_json_path(_small(spark, 700), str(tmp_path), "$.r[*]", encoding=encoding)
+    assert sorted((r["i"], r["t"]) for r in got.collect()) == [(r["i"], r["t"]) for r in rows]
+    assert got.rdd.getNumPartitions() > 5
+    assert splitter.single_byte("UTF-16") is None and splitter.single_byte("cp037") is None and splitter.single_byte("shift_jis") is None
