@@ -126,12 +126,12 @@ def _begin(spark: SparkSession, path, keys, array, o: ReadOptions) -> str | None
     if not array:
         return None
     rows = splitter.fragments(spark, path, o.path_glob_filter, o.recursive)
-    first = rows.agg(F.min(F.struct("file", "block")).alias("m")).select("m.*").head()
-    if first is None or first[0] is None:
+    first = rows.where("block = 0").select("file").head()
+    if first is None:
         return None
-    sample = rows.where((F.col("file") == first[0]) & (F.col("block") == first[1])).limit(SAMPLE).coalesce(1)
+    sample = rows.where((F.col("file") == first[0]) & (F.col("block") == 0)).limit(SAMPLE).coalesce(1)
     target = splitter.target_stack(keys, array)
-    found = sample.mapInArrow(splitter._records(target, {(first[0], first[1]): splitter.State()}), splitter.SCHEMA)
+    found = sample.mapInArrow(splitter._records(target, splitter.States(target)), splitter.SCHEMA)
     begin = None
     for r in found.where("place = 'record'").select("text").collect():  # SAMPLE rows at most
         m = _BEGIN.match(r["text"].strip())

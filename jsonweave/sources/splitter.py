@@ -21,8 +21,10 @@ with one head and one foot a file; if not, the exact mode is used.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -352,13 +354,46 @@ def _edges(target: list[tuple]):
     return run
 
 
+class States:
+    """The state at the start of every block, in little: of a block inside the records its depth below them and whether
+    a string is open, two numbers; the first block of a file needs nothing, and others (before and behind the records, or within a
+    key) are kept whole."""
+
+    def __init__(self, target: list[tuple]):
+        self.target = target
+        self.inside: dict[str, tuple] = {}  # file -> blocks in order, 2 * depth + string
+        self.others: dict[tuple[str, int], State] = {}
+
+    def put(self, file: str, block: int, state: State) -> None:
+        if not block:
+            return
+        if _inside(state, self.target) and not state.begun:
+            blocks, told = self.inside.setdefault(file, (array("q"), array("l")))
+            blocks.append(block)
+            told.append(2 * (len(state.stack) - len(self.target)) + state.in_string)
+        else:
+            self.others[file, block] = state
+
+    def __getitem__(self, place: tuple[str, int]) -> State:
+        file, block = place
+        if not block:
+            return State()
+        if place in self.others:
+            return self.others[place]
+        blocks, told = self.inside[file]
+        i = bisect.bisect_left(blocks, block)
+        if i == len(blocks) or blocks[i] != block:
+            raise KeyError(place)
+        return State(self.target + [("", None)] * (told[i] >> 1), bool(told[i] & 1))
+
+
 @dataclass
 class Plan:
-    """The state at the start of every block, and which of its kept pieces are true: (file, block, known, k, group of
+    """The states at the start of all blocks, and which of their kept pieces are true: (file, block, known, k, group of
     the piece at the begin, group of the piece at the end), a group being the block where the record begins;
     None if a piece wasn't kept."""
 
-    states: dict[tuple[str, int], State]
+    states: States
     picks: list[tuple] | None
 
 
@@ -368,12 +403,12 @@ def _inside(state: State, target: list[tuple]) -> bool:
 
 def fold(rows, target: list[tuple]) -> Plan:
     """``rows``: (file, block, summaries) of all blocks."""
-    states, picks, whole, now, last, group = {}, [], True, State(), None, None
+    states, picks, whole, now, last, group = States(target), [], True, State(), None, None
     for file, block, text in sorted(rows):
         told, kept = json.loads(text)
         if file != last:
             now, last, group = State(), file, None
-        states[file, block] = now
+        states.put(file, block, now)
         after = advance(now, told[now.in_string] if block else told[0])
         if block == 0:
             if kept:
@@ -393,7 +428,7 @@ def fold(rows, target: list[tuple]) -> Plan:
     return Plan(states, picks if whole else None)
 
 
-def _records(target: list[tuple], states: dict | None):
+def _records(target: list[tuple], states: States):
     schema = ["file", "block", "n", "place", "text"]
 
     def run(batches):
