@@ -19,9 +19,11 @@ prediction.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -217,11 +219,9 @@ def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFr
     one by one, so repeated ones fare alike; an empty table stays empty."""
     model = fit(docs.where(~held_out()), **limits)
 
-    def run(batches):
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         say = Predictor(model)
-        for batch in batches:
-            kept = [score >= min_score for _, score in map(say, batch.column("row").field("text").to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for texts in batches:
+            yield pd.Series([say(t if isinstance(t, str) else None)[1] for t in texts], dtype="float64")
 
-    rows = docs.select(F.struct("*").alias("row"))
-    return by_arrow(rows, run, rows.schema).select("row.*")
+    return docs.where(F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text")) >= min_score)

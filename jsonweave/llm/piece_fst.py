@@ -30,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ MARK = "▁"
 CACHE = 500_000
 LONGEST = 64
 INF = float("inf")
+UNREACHED, SHIFT = -2, 24
 _loaded: dict[str, Transducer] = {}
 
 
@@ -161,32 +164,36 @@ def _rules(charsmap: bytes):
 
 
 class Arcs:
-    """The pieces as a transducer: ``next`` has an arc for each state and character, ``ends`` the piece and its
-    weight at a state where one ends."""
+    """The pieces as a transducer: ``next`` has each state's arcs by character, ``ends`` the piece and its
+    weight where one ends."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
-        self.next: dict[tuple[int, str], int] = {}
-        self.ends: dict[int, tuple[int, float]] = {}
-        states = 1
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, float] | None] = [None]
         for piece, end in pieces.items():
             state = 0
             for c in piece:
-                got = self.next.get((state, c))
+                got = self.next[state].get(c)
                 if got is None:
-                    got = self.next[state, c] = states
-                    states += 1
+                    got = self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(None)
                 state = got
             self.ends[state] = end
 
-    def paths(self, text: str, start: int):
+    def paths(self, text: str, start: int) -> list[tuple[int, int, float]]:
         """(end, piece, weight) of the pieces that begin at a place, shortest first."""
-        state, following, ends = 0, self.next, self.ends
-        for j in range(start, len(text)):
-            state = following.get((state, text[j]))
+        out, arcs, following, ends, j = [], self.next[0], self.next, self.ends, start
+        for c in text[start:]:
+            state = arcs.get(c)
             if state is None:
-                return
-            if state in ends:
-                yield j + 1, *ends[state]
+                break
+            j += 1
+            end = ends[state]
+            if end:
+                out.append((j, *end))
+            arcs = following[state]
+        return out
 
 
 #: Fixed value: how much worse than the worst piece a character without one is.
@@ -222,11 +229,12 @@ class Transducer:
         most = max(normal, default=0.0)
         weights = [-(len(p.encode()) * most - 0.1) if k == 4 else -s for p, k, s in zip(self.pieces, self.kinds, self.scores)]
         self.machine = Arcs({p: (i, 0.0 if self.merges else weights[i]) for p, i in self.arcs.items()})
+        self.piece_at = [-1 if e is None else e[0] for e in self.machine.ends]
         self.missing = 0.0 if self.merges else UNKNOWN_COST - min(normal, default=0.0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
         self.unknown = self.kinds.index(2)
         self.apart = self.merges and not any(MARK in p.lstrip(MARK) for p in self.arcs)
-        self.agree: dict[tuple[int, int], float] = {}
+        self.agree: dict[int, bool] = {}
         self.inner = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
         self.words, self.parts = _Words(self), {}
         self.shown = {i: bytes([b]) for b, i in self.bytes.items()}
@@ -247,8 +255,8 @@ class Transducer:
                     gains[i] = scores[k] if k is not None else -INF
         return parts
 
-    def agreement(self, before: int, piece: int) -> float:
-        """Weight of a merge-trained model's arc from one piece to the next."""
+    def agreement(self, before: int, piece: int) -> bool:
+        """Whether a merge-trained model's arc from one piece to the next weighs 0, and not infinity."""
         y = self.pieces[piece]
         if before < 0 or before in self.shown:
             ok = self.merged(y) == [y]
@@ -257,42 +265,67 @@ class Transducer:
             ok = self.merged(x + y) == [x, y]
         if len(self.agree) > 3_000_000:
             self.agree.clear()
-        self.agree[before, piece] = 0.0 if ok else INF
-        return self.agree[before, piece]
+        self.agree[before << SHIFT | piece] = ok
+        return ok
 
     def fallback(self, c: str) -> list[int]:
         """Labels of a character without a piece."""
         return [self.bytes.get(b, self.unknown) for b in c.encode()] if self.bytes else [self.unknown]
 
-    def _relax(self, text: str):
-        """The composition's best way to each place: cost, last piece (-1: fallback), where that begins."""
-        n, merges, agree, paths = len(text), self.merges, self.agree, self.machine.paths
-        add = (lambda x, w: x + w) if merges else (lambda x, w: float(np.float32(np.float32(x) + np.float32(w))))
+    def _by_scores(self, text: str):
+        """The composition's best way to each place: last piece (-1: fallback) and where that begins."""
+        n, paths = len(text), self.machine.paths
         cost, last, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            here, before, single = cost[i], last[i], False
-            if here == INF:
-                continue
-            if merges and back[i] < i and before < 0:
-                before = self.bytes.get(0, self.unknown)  # after a character without a piece
+            here, single = np.float32(cost[i]), False
             for j, piece, w in paths(text, i):
                 single |= j == i + 1
-                if merges:
-                    if not cost[j]:
-                        continue
-                    w = agree.get((before, piece))
-                    if w is None:
-                        w = self.agreement(before, piece)
-                if (total := add(here, w)) < cost[j]:
+                if (total := float(here + np.float32(w))) < cost[j]:
                     cost[j], last[j], back[j] = total, piece, i
-            if not single and (total := add(here, self.missing)) < cost[i + 1]:
+            if not single and (total := float(here + np.float32(self.missing))) < cost[i + 1]:
                 cost[i + 1], last[i + 1], back[i + 1] = total, -1, i
-        return cost, last, back
+        return last, back
+
+    def _by_agreement(self, text: str):
+        """As :meth:`_by_scores`, for a merge-trained model, whose weights are zero and infinity: the one finite way.
+        States are made in depth, longest pieces first, until the end is reached; a place is reached one way at most."""
+        n, first, following, ends, agrees = len(text), self.machine.next[0], self.machine.next, self.piece_at, self.agree.get
+        last, back = [UNREACHED] * (n + 1), [0] * (n + 1)
+        last[0], behind_bytes, i, waiting = -1, self.bytes.get(0, self.unknown), 0, []
+        while last[n] == UNREACHED:
+            arcs, j, ways = first, i, []
+            for c in text[i:]:
+                state = arcs.get(c)
+                if state is None:
+                    break
+                j += 1
+                if ends[state] >= 0:
+                    ways.append((j, ends[state]))
+                arcs = following[state]
+            if not ways or ways[0][0] > i + 1:
+                ways.insert(0, (i + 1, -1))
+            before = last[i]
+            waiting.append((i, (before if before >= 0 or not i else behind_bytes) << SHIFT, ways))
+            while True:
+                i, before, ways = waiting[-1]
+                if not ways:
+                    waiting.pop()
+                    continue
+                j, piece = ways.pop()
+                if last[j] != UNREACHED:
+                    continue
+                if piece >= 0:
+                    ok = agrees(before | piece)
+                    if not ok and (ok is not None or not self.agreement(before >> SHIFT, piece)):
+                        continue
+                last[j], back[j], i = piece, i, j
+                break
+        return last, back
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids of a normalised text."""
-        _, last, back = self._relax(text)
+        last, back = self._by_agreement(text) if self.merges else self._by_scores(text)
         out: list[list[int]] = []
         j = len(text)
         while j:
@@ -305,14 +338,17 @@ class Transducer:
 
     def _word(self, word: str) -> bytes:
         """Ids of marks and what follows them. No piece has a pair of neighbours outside ``inner``: cuts there are safe."""
+        got = self.parts.get(word)
+        if got is not None:
+            return got
         inner, cuts = self.inner, [0]
-        cuts += [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inner]
+        cuts += [i for i, x in enumerate(map(add, word, word[1:]), 1) if x not in inner]
         parts = []
         for i, j in zip(cuts, [*cuts[1:], len(word)]):
             x = word[i:j]
             got = self.parts.get(x)
             if got is None:
-                got = np.array(self.shortest_path(x), "<u4").tobytes()
+                got = array("I", self.shortest_path(x)).tobytes()
                 if len(x) <= LONGEST:
                     if len(self.parts) > CACHE:
                         self.parts.clear()
@@ -322,7 +358,7 @@ class Transducer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        text = self.normal((text or "").encode(errors="replace").decode())
+        text = self.normal(text or "")
         if not text:
             return b""
         if not self.apart:

@@ -70,7 +70,7 @@ def test_normaliser_and_arcs_are_transducers():
     assert n.states > 5000 and n("ﬁ ﬀ") == f"{MARK}fi{MARK}ff" and Normaliser(b"", True, True)("ﬁ") == MARK + "ﬁ"
     a = Arcs({"ab": (1, 0.5), "abc": (2, 1.5), "b": (3, 1.0)})
     assert list(a.paths("abcd", 0)) == [(2, 1, 0.5), (3, 2, 1.5)] and list(a.paths("abcd", 1)) == [(2, 3, 1.0)]
-    assert len(a.next) == 4 and len(a.ends) == 3
+    assert sum(map(len, a.next)) == 4 and sum(e is not None for e in a.ends) == 3
 
 
 def test_decoding():
