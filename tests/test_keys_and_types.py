@@ -133,3 +133,11 @@ def test_encodings_of_a_byte_a_character_are_split(spark, tmp_path, encoding):
     assert sorted((r["i"], r["t"]) for r in got.collect()) == [(r["i"], r["t"]) for r in rows]
     assert got.rdd.getNumPartitions() > 5
     assert splitter.single_byte("UTF-16") is None and splitter.single_byte("cp037") is None and splitter.single_byte("shift_jis") is None
+
+
+def test_records_longer_than_the_first_pass_keeps(spark, tmp_path):
+    rows = [{"i": i, "t": "x} \\" * (400_000 if i % 3 == 0 else 3)} for i in range(7)]
+    (tmp_path / "a.json").write_text(json.dumps({"h": 1, "r": rows}))
+    for how in ("fullPass", "speculation"):
+        got = read_json_path(_small(spark, 500_000), str(tmp_path), "$.r[*]", schema="struct<i:bigint,t:string>", partitioning=how)
+        assert sorted((r["i"], r["t"]) for r in got.collect()) == [(r["i"], r["t"]) for r in rows], how
