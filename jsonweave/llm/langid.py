@@ -224,4 +224,4 @@ def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFr
         for texts in batches:
             yield pd.Series([say(t if isinstance(t, str) else None)[1] for t in texts], dtype="float64")
 
-    return docs.where(F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text")) >= min_score)
+    return docs.where(F.pandas_udf(scores, "double")(F.col("text")) >= min_score)
