@@ -112,7 +112,7 @@ def marked(docs: DataFrame, bitmap: DataFrame, column: str = "doc_id", hit: bool
     return found.where(there if hit else ~there).drop("_place", "_at", "_bits")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Let a Python worker, which waits for its next task, return freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -125,7 +125,7 @@ def by_arrow(df: DataFrame, run, schema) -> DataFrame:
 
     def whole(batches):
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(whole, schema)
 

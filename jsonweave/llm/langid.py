@@ -23,13 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_arrow
+from .common import by_arrow, give_back
 
 ORDERS = (5, 4, 3, 2, 1)
 CACHE = 200_000
@@ -154,6 +153,11 @@ class Predictor:
         self.rows = np.zeros((1024, max(1, len(self.model.langs))), np.float32)
         self.lettered = np.zeros(1024, bool)
 
+    def close(self) -> None:
+        """Drop all tables: a worker that waits for its next task keeps nothing."""
+        self._clear()
+        self.model._tables = None
+
     def _learn(self, fresh: set[str]) -> None:
         model, cache = self.model, self.cache
         while len(cache) + len(fresh) > len(self.rows):
@@ -186,9 +190,10 @@ def _predict(model: Model):
     def run(batches):
         say = Predictor(model)
         for batch in batches:
-            langs, scores = zip(*map(say, batch.column("text").to_pylist())) if batch.num_rows else ((), ())
+            langs, scores = zip(*(say(t.as_py()) for t in batch.column("text"))) if batch.num_rows else ((), ())
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+        say.close()
 
     return run
 
@@ -219,9 +224,11 @@ def language_filter(docs: DataFrame, min_score: float = 0.5, **limits) -> DataFr
     one by one, so repeated ones fare alike; an empty table stays empty."""
     model = fit(docs.where(~held_out()), **limits)
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         say = Predictor(model)
         for texts in batches:
-            yield pd.Series([say(t if isinstance(t, str) else None)[1] for t in texts], dtype="float64")
+            yield pa.array([say(t.as_py())[1] for t in texts], pa.float64())
+        say.close()
+        give_back()
 
-    return docs.where(F.pandas_udf(scores, "double")(F.col("text")) >= min_score)
+    return docs.where(F.arrow_udf(scores, "double")(F.col("text")) >= min_score)
