@@ -116,6 +116,7 @@ def cut_documents(path: str, capacity: int, end_id: int, plain: bool = True):
                         start, k, size = start + size, k + 1, capacity
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pieces(path, plain).forget()
 
     return run
 

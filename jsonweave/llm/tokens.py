@@ -95,6 +95,10 @@ class Pieces:
         self.known, self.first = _Cache(), {}
         self.quick = _by_ranks(path)
 
+    def forget(self) -> None:
+        """Drop the kept pieces: a worker that waits for its next task, of whatever kind, holds the vocabulary only."""
+        self.known, self.first = _Cache(), {}
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
