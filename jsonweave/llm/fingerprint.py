@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, shuffle_partitions, stash, text_of, words_of
+from .common import BLANKS, let, release, shuffle_partitions, stash, text_of, words_of
 
 EXACT, SKETCH = 16, 64
 MAX_BUCKETS = 4096
@@ -160,6 +160,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t")))).alias("v"),
     ).select(*keys[:5], F.col("v.e").alias("edited_text"), F.col("v.t").alias("t"))
     got = stash(lanes_of(both, keys, "t"), "fingerprints")
+    spark = docs.sparkSession
+    del rows, both
+    release(spark)  # the texts' shuffle files go before the last joins write theirs
     own = got.where(~F.col("edited_text")).select(*keys[:5], "lanes")
     other = got.where("edited_text").select("uid", F.col("lanes").alias("edited_lanes"))
     following = got.where(~F.col("edited_text")).select(F.col("uid").alias("next_uid"), F.col("lanes").alias("next_lanes"))
