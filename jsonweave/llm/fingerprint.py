@@ -66,6 +66,17 @@ def lanes_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return got.select(*keys, F.array(*(x.cast("bigint") for x in lanes)).alias("lanes"))
 
 
+def packed(lanes: Column) -> Column:
+    """Lanes in their own widths, 32 and 16 bits, for tables and shuffles."""
+    whole = F.transform(F.slice(lanes, 1, EXACT), lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int"))
+    return F.struct(whole.alias("e"), F.transform(F.slice(lanes, EXACT + 1, SKETCH), lambda x: x.cast("smallint")).alias("s"))
+
+
+def unpacked(p: Column) -> Column:
+    whole = F.transform(p["e"], lambda x: F.pmod(x.cast("bigint"), F.lit(1 << 32)))
+    return F.concat(whole, F.transform(p["s"], lambda x: x.cast("bigint")))
+
+
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of ``a`` with the paragraphs of ``b`` inserted (sign 1) or deleted (sign -1)."""
     def add(x: Column, i: Column) -> Column:
@@ -159,7 +170,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         *keys[:5],
         F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t")))).alias("v"),
     ).select(*keys[:5], F.col("v.e").alias("edited_text"), F.col("v.t").alias("t"))
-    got = stash(lanes_of(both, keys, "t"), "fingerprints")
+    got = stash(lanes_of(both, keys, "t").withColumn("lanes", packed(F.col("lanes"))), "fingerprints")
     spark = docs.sparkSession
     del rows, both
     release(spark)  # the texts' shuffle files go before the last joins write theirs
@@ -169,6 +180,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     return (
         own.join(other, "uid")
         .join(following, "next_uid")
+        .select(*keys[2:5], *(unpacked(F.col(c)).alias(c) for c in ("lanes", "edited_lanes", "next_lanes")))
         .select(
             "doc_id", "n_chars", "edited_sha256", as_text(F.col("lanes")).alias("fingerprint"), as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
             likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
