@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from ..functions.predicates import attributes, parse_filter
+from ..sources.splitter import LISTS
 from . import lattice
 from .paths import ANY, CHILD, DESCEND, Node, Query
 
@@ -72,6 +73,13 @@ def needs(query: Query, own: Node | None) -> Need:
     return root
 
 
+def wanted(need: Need) -> dict | None:
+    """Keys -> the same below, as the splitter takes them; None: all is wanted."""
+    if need.whole or need.end or need.leaf or need.each or not need.keys:
+        return None
+    return {k: wanted(x) for k, x in need.keys.items()} | ({LISTS: None} if need.lists else {})
+
+
 NOTHING = Need()
 
 

@@ -110,12 +110,12 @@ def _whole_files(spark: SparkSession, path, keys: list[str], array: bool, o: Rea
     return reader.load(path).select("path", "content").mapInArrow(run, "file string, block bigint, n bigint, text string")
 
 
-def split_records(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions) -> DataFrame:
+def split_records(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions, want: dict | None = None) -> DataFrame:
     utf8 = o.encoding.upper().replace("-", "") == "UTF8"
     if o.partitioning == "whole" or not (utf8 or splitter.single_byte(o.encoding)):
         return _whole_files(spark, path, keys, array, o)
     begin = _begin(spark, path, keys, array, o) if o.partitioning == "speculation" and utf8 else None
-    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin, o.encoding)
+    return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin, o.encoding, want)
 
 
 _BEGIN = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:', re.S)
@@ -260,7 +260,9 @@ def read_json_path(spark: SparkSession, path: str | list[str], json_path: str, *
     o = ReadOptions(**options)
     query = build(json_path)
     keys, array, rest = _prefix(query)
-    rows = split_records(spark, path, keys, array, o)
+    # strict parsing and extra fields need the whole of each record
+    want = None if array or o.extra_fields or o.mode != "PERMISSIVE" else needs.wanted(needs.needs(Query(rest, query.output), None))
+    rows = split_records(spark, path, keys, array, o, want)
     kind = o.schema
     if isinstance(kind, str):
         kind = T._parse_datatype_string(kind)

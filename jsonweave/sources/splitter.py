@@ -12,6 +12,8 @@ the keys that lead to it), or the root values. Exact mode, two passes:
    with their states, and the records that lie inside of one block are cut out.
 
 Where a piece is too long to be kept in the first pass, pieces come from one more pass like the second.
+Root values may be as long as a whole document: where it is known which keys are ``want``ed of them, long ones are cut
+down to these as they are read, block by block, so no task ever holds one.
 
 The speculative mode reads with the text that the sampled records begin with (such as ``{"key":``) as the
 line separator: then Spark itself cuts the records, without Python. In a string that text can't
@@ -190,11 +192,99 @@ def target_stack(keys: list[str], array: bool) -> list[tuple]:
     return list(zip(kinds, [None, *keys]))
 
 
+#: Among wanted keys: arrays are wanted too, in whole.
+LISTS = 0
+
+
+def levels(want: dict | None) -> int:
+    return 0 if want is None else 1 + max(map(levels, want.values()), default=0)
+
+
+class Pruner:
+    """A root value's text without what isn't wanted: the insides of containers at other keys go, and of members at
+    other keys that stand side by side in a block all but one. What is left is as well-formed as the whole was on these
+    levels. Fed piece by piece, from the value's begin or (``state``) the middle. ``want``: key -> the same below, None for all."""
+
+    def __init__(self, want: dict, state: State):
+        self.want, self.levels = want, levels(want)
+        self.stack, self.depth = list(state.stack[: self.levels + 1]), len(state.stack)
+        self.in_string, self.since, self.kept = state.in_string, state.begun, bytearray()
+        self.dropping = 0  # depth of the container whose insides go
+        self.members: dict[int, list] = {}  # by depth: begin of the member in what is kept if seen, whether the last one wasn't wanted, names
+        for d in range(1, len(self.stack) + 1):
+            self._enter(d, None)
+            if d not in self.members:
+                break
+
+    def _enter(self, d: int, begin: int | None) -> None:
+        inside: dict | None | bool = self.want
+        for i, (bracket, key) in enumerate(self.stack[:d]):
+            if i:
+                inside = inside.get(key, False)
+            if not isinstance(inside, dict):
+                break
+            if bracket == "[":
+                inside = None if LISTS in inside else False
+                break
+        if inside is False:
+            self.dropping = d
+        elif inside is not None:
+            self.members[d] = [begin, False, inside]
+
+    def _ended(self, d: int) -> None:
+        """A member at depth ``d`` ends where the kept text does."""
+        begin, other, names = mine = self.members[d]
+        m = begin is not None and re.compile(rb'[\s,]*("(?:[^"\\]|\\.)*"\s*:)', re.S).match(self.kept, begin)
+        key = _key(m[1]) if m else None
+        mine[1] = key is not None and key not in names
+        if mine[1] and other:
+            del self.kept[begin:]
+
+    def feed(self, new: bytes) -> None:
+        raw = np.frombuffer(new, np.uint8)
+        at, odd, quotes = structure(raw)
+        at = at[odd == self.in_string]
+        self.in_string ^= bool(quotes)
+        step = _KIND[raw[at]].astype(np.int64)
+        depth = self.depth + np.cumsum(step)
+        start = 0
+        for i in np.flatnonzero(np.where(step > 0, depth - 1, depth) <= self.levels).tolist():
+            p, d, s = int(at[i]), int(depth[i]), int(step[i])
+            if s > 0:
+                between = new[int(at[i - 1]) + 1 : p] if i else self.since + new[:p]
+                self.stack = self.stack[: d - 1] + [(chr(new[p]), _key(between) if d > 1 else None)]
+                if not self.dropping and (d == 1 or d - 1 in self.members):
+                    self.kept += new[start : p + 1]
+                    start = p + 1
+                    self._enter(d, len(self.kept))
+                continue
+            inner = d + (s < 0)
+            if s < 0:
+                self.stack = self.stack[: max(d, 0)]
+                if self.dropping == inner:
+                    start, self.dropping = p, 0
+                    continue
+            if not self.dropping and inner in self.members:
+                self.kept += new[start:p]
+                start = p
+                self._ended(inner)
+                if s < 0:
+                    del self.members[inner]
+                else:
+                    self.members[inner][0] = len(self.kept)
+        if not self.dropping:
+            self.kept += new[start:]
+        self.depth = int(depth[-1]) if len(depth) else self.depth
+        self.since = new[int(at[-1]) + 1 :] if len(at) else self.since + new
+
+
 class Reader:
     """Cuts records out of a block that is fed piece by piece. ``out`` gets (place, text), where place is
-    'record', 'head' (end of a record begun earlier), 'tail' (begin of one that goes on) or 'middle'."""
+    'record', 'head' (end of a record begun earlier), 'tail' (begin of one that goes on) or 'middle'. ``want``: of root
+    values only this is kept, in long records and in all pieces."""
 
-    def __init__(self, target: list[tuple], state: State):
+    def __init__(self, target: list[tuple], state: State, want: dict | None = None):
+        self.want, self.began, self.pruner = want, state, None
         self.target, self.depth = target, len(target)
         self.stack, self.in_string, self.since = list(state.stack), state.in_string, state.begun
         self.inside = len(self.stack) >= self.depth and self.stack[: self.depth] == target
@@ -234,7 +324,7 @@ class Reader:
                     yield from self._done(upto(p))
                     before, self.inside, self.open = b"", False, False
                 elif not self.depth and d == 0:
-                    yield from self._done(upto(p + 1))
+                    yield from self._done(self._pruned(upto(p + 1), not self.cut))
                     before, self.open = b"", False
                 if d < self.depth:
                     stack = stack[: max(d, 0)]
@@ -245,6 +335,22 @@ class Reader:
         self.stack = (stack + [("", None)] * max(end, 0))[:end] if end > len(stack) else stack[: max(end, 0)]
         self.since = new[int(at[-1]) + 1 :] if len(at) else self.since + new
         self.text = upto(len(new)) if self.open else b""
+        if self.want is not None and (self.pruner or len(self.text) > LIMIT):
+            self._prune()
+
+    def _prune(self) -> None:
+        self.pruner = self.pruner or Pruner(self.want, State() if self.cut else self.began)
+        self.pruner.feed(self.text)
+        self.text = b""
+
+    def _pruned(self, text: bytes, piece: bool) -> bytes:
+        """A record or piece that ends: what is wanted of it."""
+        if self.want is None or not (piece or self.pruner or len(text) > LIMIT):
+            return text
+        self.text = text
+        self._prune()
+        text, self.pruner = bytes(self.pruner.kept), None
+        return text
 
     def _done(self, text: bytes):
         place = "record" if self.cut else "head"
@@ -254,7 +360,7 @@ class Reader:
 
     def finish(self):
         if self.open:
-            yield ("tail" if self.cut else "middle"), self.text
+            yield ("tail" if self.cut else "middle"), self._pruned(self.text, True)
 
 
 def _blocks(batches):
@@ -315,7 +421,7 @@ EDGES = "file string, block bigint, known int, k int, n bigint, head string, tai
 KNOWN = 2  # the block's state is known: it is its file's first
 
 
-def _edges(target: list[tuple]):
+def _edges(target: list[tuple], want: dict | None = None):
     """Of each block a row with its summaries (known = -1), and one for each way its edges may be cut."""
     array = bool(target)
     names = [x.split()[0] for x in EDGES.split(", ")]
@@ -327,7 +433,7 @@ def _edges(target: list[tuple]):
             if sums is None:
                 sums = [Summary(s, array) for s in ((False,) if block == 0 else (False, True))]
                 lead, trail, n = b"", b"", 0
-                reader = Reader(target, State()) if block == 0 else None
+                reader = Reader(target, State(), want) if block == 0 else None
             raw = np.frombuffer(data, np.uint8)
             found = structure(raw)
             for s in sums:
@@ -342,7 +448,10 @@ def _edges(target: list[tuple]):
                 continue
             text = lambda x: None if x is None else x.decode(errors="ignore")
             rows = []
-            if reader:
+            if reader and want is not None:
+                # a piece that is kept is whole, as those that it is joined with
+                rows += [(file, block, KNOWN, 0, n, None, text(reader.text), False)] * (reader.open and not reader.pruner)
+            elif reader:
                 rows += [(file, block, KNOWN, 0, n, None, text(t), False) for _, t in reader.finish()]
             else:
                 rows += [(file, block, int(i), k, m, text(head), text(tail), whole) for i, s in enumerate(sums) for k, m, head, tail, whole in s.pieces(lead, trail)]
@@ -356,21 +465,24 @@ def _edges(target: list[tuple]):
 
 class States:
     """The state at the start of every block, in little: of a block inside the records its depth below them and whether
-    a string is open, two numbers; the first block of a file needs nothing, and others (before and behind the records, or within a
-    key) are kept whole."""
-
-    def __init__(self, target: list[tuple]):
-        self.target = target
-        self.inside: dict[str, tuple] = {}  # file -> blocks in order, 2 * depth + string
+    a string is open, two numbers, and which of the few ``begins`` its stack has; the first block of a file needs nothing, and others
+    (before and behind the records, or within a key) are kept whole. ``deep``: levels below the records that are told apart."""
+
+    def __init__(self, target: list[tuple], deep: int = 0):
+        self.target, self.deep = target, len(target) + deep
+        self.inside: dict[str, tuple] = {}  # file -> blocks in order, 2 * depth + string, number of the begin
+        self.begins: dict[tuple, int] = {}
+        self.order: list[tuple] = []
         self.others: dict[tuple[str, int], State] = {}
 
     def put(self, file: str, block: int, state: State) -> None:
         if not block:
             return
         if _inside(state, self.target) and not state.begun:
-            blocks, told = self.inside.setdefault(file, (array("q"), array("l")))
+            blocks, told, begins = self.inside.setdefault(file, (array("q"), array("l"), array("l")))
             blocks.append(block)
-            told.append(2 * (len(state.stack) - len(self.target)) + state.in_string)
+            told.append(2 * len(state.stack) + state.in_string)
+            begins.append(self.begins.setdefault(tuple(map(tuple, state.stack[: self.deep])), len(self.begins)))
         else:
             self.others[file, block] = state
 
@@ -380,18 +492,21 @@ class States:
             return State()
         if place in self.others:
             return self.others[place]
-        blocks, told = self.inside[file]
+        blocks, told, begins = self.inside[file]
         i = bisect.bisect_left(blocks, block)
         if i == len(blocks) or blocks[i] != block:
             raise KeyError(place)
-        return State(self.target + [("", None)] * (told[i] >> 1), bool(told[i] & 1))
+        if len(self.order) < len(self.begins):
+            self.order = list(self.begins)
+        begin = list(self.order[begins[i]])
+        return State(begin + [("", None)] * ((told[i] >> 1) - len(begin)), bool(told[i] & 1))
 
 
 @dataclass
 class Plan:
     """The states at the start of all blocks, and which of their kept pieces are true: (file, block, known, k, group of
     the piece at the begin, group of the piece at the end), a group being the block where the record begins;
-    None if a piece wasn't kept."""
+    None if a piece wasn't kept, or if records of which little is wanted fill whole blocks."""
 
     states: States
     picks: list[tuple] | None
@@ -401,9 +516,9 @@ def _inside(state: State, target: list[tuple]) -> bool:
     return len(state.stack) >= len(target) and state.stack[: len(target)] == target
 
 
-def fold(rows, target: list[tuple]) -> Plan:
+def fold(rows, target: list[tuple], want: dict | None = None) -> Plan:
     """``rows``: (file, block, summaries) of all blocks."""
-    states, picks, whole, now, last, group = States(target), [], True, State(), None, None
+    states, picks, whole, now, last, group = States(target, levels(want) + 1 if want is not None else 0), [], True, State(), None, None
     for file, block, text in sorted(rows):
         told, kept = json.loads(text)
         if file != last:
@@ -414,10 +529,12 @@ def fold(rows, target: list[tuple]) -> Plan:
             if kept:
                 picks.append((file, block, KNOWN, 0, None, block))
                 group = block
+            elif want is not None and after.stack:
+                whole = False
         elif _inside(now, target):
             key = [int(now.in_string), len(now.stack) - len(target)]
             mine = next((x for x in kept if x[:2] == key), None)
-            if mine is None or (target and not mine[2] and not mine[3] and _inside(after, target)):
+            if mine is None or (mine[3] and want is not None) or (target and not mine[2] and not mine[3] and _inside(after, target)):
                 whole = False
             else:
                 picks.append((file, block, *key, group, block if mine[2] else None))
@@ -428,7 +545,7 @@ def fold(rows, target: list[tuple]) -> Plan:
     return Plan(states, picks if whole else None)
 
 
-def _records(target: list[tuple], states: States):
+def _records(target: list[tuple], states: States, want: dict | None = None):
     schema = ["file", "block", "n", "place", "text"]
 
     def run(batches):
@@ -443,7 +560,7 @@ def _records(target: list[tuple], states: States):
 
         for file, block, data, end in _blocks(batches):
             if reader is None:
-                count, reader = 0, Reader(target, states[file, block])
+                count, reader = 0, Reader(target, states[file, block], want)
             for place, text in reader.feed(data):
                 count += place == "record"
                 rows.append((file, block, count if place == "record" else 0, place, text))
@@ -461,21 +578,29 @@ def _records(target: list[tuple], states: States):
 SCHEMA = "file string, block bigint, n bigint, place string, text string"
 
 
-def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", begin: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+def records(spark: SparkSession, path, keys: list[str], array: bool, glob=None, recursive=False, strategy="fullPass", begin: str | None = None, encoding: str = "UTF-8", want: dict | None = None) -> DataFrame:
     """(file, block, n, text): the records, n counting from 1 in each block (speculation: growing in each). ``begin``: what all
-    records begin with, for speculation."""
+    records begin with, for speculation. ``want``: the keys that matter of root values, see :class:`Pruner`."""
     target = target_stack(keys, array)
     if strategy == "speculation" and (begin or not array) and encoding.upper().replace("-", "") == "UTF8":
         found = _speculated(spark, path, target, glob, recursive, begin) if array else _lines(spark, path, glob, recursive)
         if found is not None:
             return found
     parts = fragments(spark, path, glob, recursive, encoding=encoding)
-    edges = keep(parts.mapInArrow(_edges(target), EDGES), "edges")
+    edges = keep(parts.mapInArrow(_edges(target, want), EDGES), "edges")
     told = edges.where("known = -1").select("file", "block", "head").toArrow()
-    plan = fold(list(zip(*(told.column(i).to_pylist() for i in range(3)))), target)
-    found = parts.mapInArrow(_records(target, plan.states), SCHEMA)
+    plan = fold(list(zip(*(told.column(i).to_pylist() for i in range(3)))), target, want)
+    found = parts.mapInArrow(_records(target, plan.states, want), SCHEMA)
     inside = found.where("place = 'record'").select("file", "block", "n", "text")
-    joined = _joined(found) if plan.picks is None else _picked(edges, plan.picks)
+    if plan.picks is None and want is not None:
+        # pruned pieces are short, so one pass finds them and tells whether whole records stand beside them
+        few = found.where("place <> 'record' or n = 1").withColumn("text", F.when(F.col("place") != "record", F.col("text")))
+        few = keep(few, "pieces")
+        joined = _joined(few)
+        if few.where("place = 'record'").isEmpty():
+            return joined.where("text <> ''").select("file", "block", "n", "text")
+    else:
+        joined = _joined(found) if plan.picks is None else _picked(edges, plan.picks)
     if joined is None:
         return inside
     return inside.unionByName(joined.where("text <> ''").select("file", "block", "n", "text"))
