@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from dataclasses import dataclass
@@ -54,9 +55,6 @@ def _prefix(query: Query) -> tuple[list[str], bool, list[Node]]:
     return [], False, query.chain
 
 
-STEP = 1 << 20
-
-
 def _roots(text: str):
     """The root values of a document."""
     at, decoder = 0, json.JSONDecoder(strict=False)
@@ -73,47 +71,64 @@ def _roots(text: str):
         at = end
 
 
-def _elements(text: str, target: list[tuple]):
-    """The elements of the array at ``target`` in a document, cut as blocks are, so nothing is parsed here."""
-    data, reader, at = text.encode(), splitter.Reader(target, splitter.State()), 0
-    while at < len(data):
-        end = data.find(b"}", min(at + STEP, len(data))) + 1 or len(data)
-        for _, record in reader.feed(data[at:end]):
-            yield record.strip().decode()
-        at = end
-    for _, record in reader.finish():
-        if record.strip():
-            yield record.strip().decode()
+def _decoded(pieces, encoding: str):
+    """(file, size, bytes so far, whether it's the end) -> (file, UTF-8, whether it's the end)."""
+    decoder, total, mark = None, 0, b"\xef\xbb\xbf"
+    for file, size, data, end in pieces:
+        if decoder is None:
+            decoder, total, begun = codecs.getincrementaldecoder(encoding)("ignore"), 0, False
+        total += len(data)
+        if end and total - size in (1, 1 - len(mark)):  # the file doesn't end in a brace; Hadoop takes off a byte order mark
+            data = data[:-1]
+        data = decoder.decode(data, end).encode()
+        yield file, data if begun else data.removeprefix(mark), end
+        begun = begun or bool(data)
+        decoder = None if end else decoder
 
 
-def _whole_files(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(o.recursive).lower())
-    if o.path_glob_filter:
-        reader = reader.option("pathGlobFilter", o.path_glob_filter)
+def _whole_files(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions, want: dict | None = None) -> DataFrame:
+    """A file a task, as a stream: a task holds a batch of its bytes and the record that is open."""
     encoding, target = o.encoding, splitter.target_stack(keys, array)
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
 
+    def records(found):
+        for place, text in found:
+            if place == "gap":
+                yield from _roots(text.decode(errors="ignore").rstrip().removesuffix("}"))
+            elif text.strip():
+                yield text.strip().decode(errors="ignore")
+
     def run(batches):
-        for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content")):
-                text = content.as_buffer().to_pybytes().decode(encoding, errors="ignore").removeprefix("\ufeff")
-                rows, size = [], 0
-                for n, record in enumerate(_elements(text, target) if array else _roots(text), 1):
-                    rows.append((file.as_py(), 0, n, record))
+        reader, n, rows, size = None, 0, [], 0
+
+        def emit():
+            nonlocal rows, size
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "block", "n", "text"])
+            rows, size = [], 0
+
+        for file, data, end in _decoded(splitter._blocks(batches), encoding):
+            if reader is None:
+                reader, n = splitter.Reader(target, splitter.State(), want, gaps=True), 0
+            for found in (reader.feed(data) if data else (), reader.finish() if end else ()):
+                for record in records(found):
+                    n += 1
+                    rows.append((file, 0, n, record))
                     size += len(record)
                     if len(rows) >= 4096 or size > 1 << 24:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "block", "n", "text"])
-                        rows, size = [], 0
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "block", "n", "text"])
+                        yield from emit()
+            if end:
+                reader = None
+        yield from emit()
 
-    return reader.load(path).select("path", "content").mapInArrow(run, "file string, block bigint, n bigint, text string")
+    files = splitter.files_in_order(spark, path, o.path_glob_filter, o.recursive)
+    return files.mapInArrow(run, "file string, block bigint, n bigint, text string")
 
 
 def split_records(spark: SparkSession, path, keys: list[str], array: bool, o: ReadOptions, want: dict | None = None) -> DataFrame:
     utf8 = o.encoding.upper().replace("-", "") == "UTF8"
     if o.partitioning == "whole" or not (utf8 or splitter.single_byte(o.encoding)):
-        return _whole_files(spark, path, keys, array, o)
+        return _whole_files(spark, path, keys, array, o, want)
     begin = _begin(spark, path, keys, array, o) if o.partitioning == "speculation" and utf8 else None
     return splitter.records(spark, path, keys, array, o.path_glob_filter, o.recursive, o.partitioning, begin, o.encoding, want)
 

@@ -281,10 +281,11 @@ class Pruner:
 class Reader:
     """Cuts records out of a block that is fed piece by piece. ``out`` gets (place, text), where place is
     'record', 'head' (end of a record begun earlier), 'tail' (begin of one that goes on) or 'middle'. ``want``: of root
-    values only this is kept, in long records and in all pieces."""
+    values only this is kept, in long records and in all pieces. ``gaps``: what stands between root objects and arrays is
+    told too, as 'gap'."""
 
-    def __init__(self, target: list[tuple], state: State, want: dict | None = None):
-        self.want, self.began, self.pruner = want, state, None
+    def __init__(self, target: list[tuple], state: State, want: dict | None = None, gaps: bool = False):
+        self.want, self.began, self.pruner, self.gaps = want, state, None, gaps and not target
         self.target, self.depth = target, len(target)
         self.stack, self.in_string, self.since = list(state.stack), state.in_string, state.begun
         self.inside = len(self.stack) >= self.depth and self.stack[: self.depth] == target
@@ -318,6 +319,8 @@ class Reader:
                         self.inside = self.open = self.cut = True
                         before, start = b"", p + 1
                 elif not self.depth and not self.open:
+                    if self.gaps:
+                        yield "gap", upto(p)
                     self.open, before, start = True, b"", p
             elif s < 0:
                 if self.depth and self.inside and d == self.depth - 1:
@@ -325,7 +328,7 @@ class Reader:
                     before, self.inside, self.open = b"", False, False
                 elif not self.depth and d == 0:
                     yield from self._done(self._pruned(upto(p + 1), not self.cut))
-                    before, self.open = b"", False
+                    before, start, self.open = b"", p + 1, False
                 if d < self.depth:
                     stack = stack[: max(d, 0)]
             elif self.inside and self.depth and d == self.depth:
@@ -334,8 +337,8 @@ class Reader:
         # the full stack, for the next piece: only its depth and its first levels matter
         self.stack = (stack + [("", None)] * max(end, 0))[:end] if end > len(stack) else stack[: max(end, 0)]
         self.since = new[int(at[-1]) + 1 :] if len(at) else self.since + new
-        self.text = upto(len(new)) if self.open else b""
-        if self.want is not None and (self.pruner or len(self.text) > LIMIT):
+        self.text = upto(len(new)) if self.open or self.gaps else b""
+        if self.open and self.want is not None and (self.pruner or len(self.text) > LIMIT):
             self._prune()
 
     def _prune(self) -> None:
@@ -361,6 +364,8 @@ class Reader:
     def finish(self):
         if self.open:
             yield ("tail" if self.cut else "middle"), self._pruned(self.text, True)
+        elif self.gaps:
+            yield "gap", self.text
 
 
 def _blocks(batches):
@@ -417,6 +422,28 @@ def fragments(spark: SparkSession, path, glob: str | None, recursive: bool, sepa
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), value)
 
 
+WHOLE = 1 << 50  # bytes
+
+
+def files_in_order(spark: SparkSession, path, glob: str | None, recursive: bool) -> DataFrame:
+    """(file, block, value): as :func:`fragments`, but bytes, of a whole file in one task and in order; block is the file's size."""
+    # a session of its own has the blocks' size; the result is the caller's session's
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for key in sizes:
+        own.conf.set(key, str(WHOLE))
+    reader = own.read.option("lineSep", "}").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    meta = F.col("_metadata")
+    rows = reader.text(path).select(meta["file_path"].alias("file"), meta["file_size"].alias("block"), F.col("value").cast("binary").alias("value"), meta["file_block_start"].alias("start"))
+    rows = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, rows._jdf.logicalPlan()), spark)
+    if any(own.conf.get(key) != str(WHOLE) for key in sizes):  # a platform may hold them
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("at", F.monotonically_increasing_id()).repartition(n, "file").sortWithinPartitions("file", "start", "at")
+    return rows.select("file", "block", "value")
+
+
 EDGES = "file string, block bigint, known int, k int, n bigint, head string, tail string, whole boolean"
 KNOWN = 2  # the block's state is known: it is its file's first
 
