@@ -32,6 +32,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -375,11 +376,11 @@ def _blocks(batches):
         files, blocks, values = (batch.column(c) for c in ("file", "block", "value"))
         if not batch.num_rows:
             continue
-        names, starts = files.to_pylist(), blocks.to_numpy(zero_copy_only=False)
-        binary = values.cast(pa.binary()).to_pylist()
-        edge = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1] or starts[i] != starts[i - 1]], len(names)]
+        names, starts = files.dictionary_encode().indices.to_numpy(), blocks.to_numpy(zero_copy_only=False)
+        binary = values.cast(pa.binary())
+        edge = [0, *(np.flatnonzero((np.diff(names) != 0) | (np.diff(starts) != 0)) + 1).tolist(), len(names)]
         for a, b in zip(edge, edge[1:]):
-            now = (names[a], int(starts[a]))
+            now = (files[a].as_py(), int(starts[a]))
             if key is not None and key != now:
                 yield (*key, b"".join(parts), True)
                 parts = []
@@ -387,7 +388,7 @@ def _blocks(batches):
                 yield (*key, b"".join(parts), False)
                 parts = []
             key = now
-            parts = [b"}".join(binary[a:b]), b"}"]
+            parts = [pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), binary.slice(a, b - a)), b"}")[0].as_py(), b"}"]
     if key is not None:
         yield (*key, b"".join(parts), True)
 
